@@ -3,7 +3,36 @@
 from __future__ import annotations
 
 from ..session import table
-from . import media, mixing
+from . import media, minhash, mixing, packing
+
+
+def op5_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) END sh FROM w),
+e AS (SELECT doc_id, len(sh) n, unnest(sh) x FROM s),
+p AS (SELECT a.doc_id a, b.doc_id b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id v, doc_id c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON r.v = l.a WHERE r.c < l.b),
+c AS (SELECT v, min(c) c FROM r GROUP BY v)
+SELECT s.doc_id, len(sh) n_shingles, c.c component_id, s.doc_id = c.c kept FROM s JOIN c ON s.doc_id = c.v
+"""
+
+
+def op8_best_fit(spark, sf_dir):
+    return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    """Where the public byte-level BPE file stands on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op10_telephony(spark, sf_dir):
@@ -11,7 +40,9 @@ def op10_telephony(spark, sf_dir):
 
 
 QUERIES = {
+    "op5_minhash": op5_minhash,
     "op6_poisson_mix": mixing.op6_query,
+    "op8_best_fit": op8_best_fit,
     "op10_telephony": op10_telephony,
 }
-ORACLES = {"op6_poisson_mix": mixing.OP6_SQL}
+ORACLES = {"op5_minhash": OP5_SQL, "op6_poisson_mix": mixing.OP6_SQL}
