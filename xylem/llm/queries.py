@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import media, minhash, mixing, packing
+from . import media, minhash, mixing, packing, repeats
 
 
 def op5_minhash(spark, sf_dir):
@@ -24,6 +24,10 @@ SELECT s.doc_id, len(sh) n_shingles, c.c component_id, s.doc_id = c.c kept FROM
 """
 
 
+def op7_difference_cover(spark, sf_dir):
+    return repeats.repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit(spark, sf_dir):
     return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -42,6 +46,7 @@ def op10_telephony(spark, sf_dir):
 QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_poisson_mix": mixing.op6_query,
+    "op7_difference_cover": op7_difference_cover,
     "op8_best_fit": op8_best_fit,
     "op10_telephony": op10_telephony,
 }
