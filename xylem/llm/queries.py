@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..session import table
-from . import media, minhash, mixing, packing, repeats
+from . import language, media, minhash, mixing, packing, pii, repeats
+
+
+def op2_mixture_lid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.train_and_identify(docs)
+    return found.select("doc_id", (language.crc_rest(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "lang_set")
+
+
+def op3_bootstrap_pii(spark, sf_dir):
+    return pii.digest(pii.extract(table(spark, sf_dir, "documents")))
 
 
 def op5_minhash(spark, sf_dir):
@@ -44,6 +56,8 @@ def op10_telephony(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_mixture_lid": op2_mixture_lid,
+    "op3_bootstrap_pii": op3_bootstrap_pii,
     "op5_minhash": op5_minhash,
     "op6_poisson_mix": mixing.op6_query,
     "op7_difference_cover": op7_difference_cover,
