@@ -2,7 +2,7 @@
 
 Each document's set of word shingles gives 192 minima. Their low bits are packed into a signature, and 32 bands of six
 minima give bucket keys. Equal sets are folded first. Within a bucket, members are compared with a pivot, round after
-round, and those joined already need no more comparing; what is left after the rounds is compared in bounded tiles.
+round, and those joined already need no more comparing; what is left after the rounds is compared in tiles of bounded size.
 A candidate pair must first agree in enough signature bits (similarity corrected for chance collisions), then its link is
 confirmed on the full sets. Components come from contraction.
 """
@@ -114,10 +114,8 @@ def likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """Those of the pairs with 100 * intersection >= percent * union on the full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    sets = shingle_sets(docs.join(ids, F.col(key) == F.col("_id"), "left_semi"), key, text, words).dropDuplicates(["id"])
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs with 100 * intersection >= percent * union on the full sets (id, hashes)."""
     left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,25 +130,44 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInPandas(run, "a long, b long")
 
 
-def tiles(members: DataFrame, least: float) -> DataFrame:
-    """Likely pairs across components among (key, id, component, sig), each bucket in tiles of bounded size."""
-    sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "key")
-    sized = sized.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = sized.select("key", "id", "component", "sig", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("key", "id", "component", "sig", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        x, y = b[b["part"] == i], b[b["part"] == j]
-        sx, sy = (np.frombuffer(b"".join(t["sig"]), np.uint8).reshape(len(t), -1) if len(t) else np.zeros((0, 1), np.uint8) for t in (x, y))
-        xi, yi, xc, yc = x["id"].to_numpy(), y["id"].to_numpy(), x["component"].to_numpy(), y["component"].to_numpy()
-        out = []
-        for k in range(len(x)):
-            other = np.flatnonzero((yc != xc[k]) & ((yi > xi[k]) if i == j else True))
-            if len(other):
-                hit = other[similarity(agreements(sx[k], sy[other])) >= least]
-                out.append(np.stack([np.minimum(xi[k], yi[hit]), np.maximum(xi[k], yi[hit])], axis=1))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+def spanning(ids: np.ndarray, comps: np.ndarray, parts: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], least: float, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of a tile's members wherever any pair across them (and across the two parts) is linked."""
+    comps, sizes = comps.copy(), np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    mark = np.zeros(flat.max() + 1, np.int32)
+    two = parts.min() != parts.max()
+    out = []
+    for x in range(len(ids)):
+        if two and parts[x] != parts[0]:
+            continue
+        other = np.flatnonzero((comps != comps[x]) & ((parts != parts[x]) if two else (ids > ids[x])))
+        if not len(other) or not (similarity(agreements(sigs[x], sigs[other])) >= least).any():
+            continue
+        own = flat[starts[x] : starts[x] + sizes[x]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[flat], starts)[other]
+        mark[own] = 0
+        linked = other[100 * both >= percent * (sizes[x] + sizes[other] - both)]
+        for y in linked:
+            if comps[y] != comps[x]:
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                comps[comps == comps[y]] = comps[x]
+    return out
+
+
+def tiles(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links across components among (key, id, component, sig, hashes): each bucket in tiles of bounded size, no pairs as rows."""
+    sized = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    sized = members.join(sized, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", "id", "component", "sig", "hashes", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        sigs = np.frombuffer(b"".join(b["sig"]), np.uint8).reshape(len(b), -1)
+        sets = [np.frombuffer(h, np.uint64) for h in b["hashes"]]
+        links = spanning(b["id"].to_numpy(), b["component"].to_numpy(), b["part"].to_numpy(), sigs, sets, least, percent)
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
@@ -171,26 +188,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     banded = reps.select("id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     buckets = materialise(banded.join(shared, "key"), "buckets")
+    # How central a member is: the more company it has in its buckets, the more likely its links join what is there.
+    central = materialise(buckets.groupBy("id").agg(F.sum("m").alias("company")), "members")
+    sets = materialise(shingle_sets(docs.join(central.select(F.col("id").alias("_id")), F.col(key) == F.col("_id"), "left_semi"), key, text, words).dropDuplicates(["id"]), "hashes")
+    buckets = materialise(buckets.join(central, "id"), "buckets")
     links, labels, tested = None, None, None
-
-    def labelled() -> DataFrame:
-        if labels is None:
-            return buckets.withColumn("component", F.col("id"))
-        return buckets.join(labels.withColumnRenamed("v", "id"), "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("component"))
-
     for turn in range(PIVOT_ROUNDS + 1):
-        now = labelled()
-        split = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("id", F.lit(turn)), "id", "component")).alias("pivot")).filter("least <> most")
+        if labels is None:
+            now = buckets.withColumn("component", F.col("id"))
+        else:
+            now = buckets.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        first = F.col("company") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        split = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.struct(first, "id", "component")).alias("pivot")).filter("least <> most")
         if turn < PIVOT_ROUNDS:
             mine = now.join(split, "key").filter("component <> pivot.component")
             pairs = mine.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            tested = materialise(likely(pairs, sigs, least), "likely")
+            found = confirmed(tested, sets, percent)
         else:  # buckets of two were decided by the first pivot
-            pairs = tiles(now.filter("m > 2").join(split.select("key"), "key", "left_semi").join(sigs, "id"), least)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        good = materialise(likely(pairs, sigs, least) if turn < PIVOT_ROUNDS else pairs, "likely")
-        found = materialise(confirmed(good, docs, key, text, words, percent), "links")
-        tested = good if tested is None else tested.union(good)
+            left = now.filter("m > 2").join(split.select("key"), "key", "left_semi").select("key", "id", "component")
+            found = tiles(left.join(sigs, "id").join(sets, "id"), least, percent)
+        found = materialise(found, "links")
         if found.isEmpty():
             continue
         links = found if links is None else links.union(found)
