@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, media, minhash, mixing, packing, pii, repeats
+from . import ann, language, media, minhash, mixing, packing, pii, repeats
+
+
+def op1_additive_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP1_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) v FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id query_id, c.vec_id, list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda a, b: a + b, 0.0::DOUBLE) score
+      FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
 
 
 def op2_mixture_lid(spark, sf_dir):
@@ -56,6 +70,7 @@ def op10_telephony(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_additive_ann": op1_additive_ann,
     "op2_mixture_lid": op2_mixture_lid,
     "op3_bootstrap_pii": op3_bootstrap_pii,
     "op5_minhash": op5_minhash,
@@ -64,4 +79,4 @@ QUERIES = {
     "op8_best_fit": op8_best_fit,
     "op10_telephony": op10_telephony,
 }
-ORACLES = {"op5_minhash": OP5_SQL, "op6_poisson_mix": mixing.OP6_SQL}
+ORACLES = {"op1_additive_ann": OP1_SQL, "op5_minhash": OP5_SQL, "op6_poisson_mix": mixing.OP6_SQL}
