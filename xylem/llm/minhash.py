@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     buckets = materialise(banded.join(shared, "key"), "buckets")
     # How central a member is: the more company it has in its buckets, the more likely its links join what is there.
     central = materialise(buckets.groupBy("id").agg(F.sum("m").alias("company")), "members")
-    sets = materialise(shingle_sets(docs.join(central.select(F.col("id").alias("_id")), F.col(key) == F.col("_id"), "left_semi"), key, text, words).dropDuplicates(["id"]), "hashes")
+    sets = materialise(shingle_sets(docs.join(central.filter("company > 1").select(F.col("id").alias("_id")), F.col(key) == F.col("_id"), "left_semi"), key, text, words).dropDuplicates(["id"]), "hashes")
     buckets = materialise(buckets.join(central, "id"), "buckets")
     links, labels, tested = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):

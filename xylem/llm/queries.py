@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, language, media, minhash, mixing, packing, pii, repeats
+from . import ann, html, language, lm, media, minhash, mixing, packing, pii, repeats
 
 
 def op1_additive_ann(spark, sf_dir):
@@ -32,6 +32,10 @@ def op3_bootstrap_pii(spark, sf_dir):
     return pii.digest(pii.extract(table(spark, sf_dir, "documents")))
 
 
+def op4_gru_lm(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -65,6 +69,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op9_wrapper_text(spark, sf_dir):
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_telephony(spark, sf_dir):
     return media.texts_as_telephony(table(spark, sf_dir, "documents"))
 
@@ -73,10 +81,12 @@ QUERIES = {
     "op1_additive_ann": op1_additive_ann,
     "op2_mixture_lid": op2_mixture_lid,
     "op3_bootstrap_pii": op3_bootstrap_pii,
+    "op4_gru_lm": op4_gru_lm,
     "op5_minhash": op5_minhash,
     "op6_poisson_mix": mixing.op6_query,
     "op7_difference_cover": op7_difference_cover,
     "op8_best_fit": op8_best_fit,
+    "op9_wrapper_text": op9_wrapper_text,
     "op10_telephony": op10_telephony,
 }
 ORACLES = {"op1_additive_ann": OP1_SQL, "op5_minhash": OP5_SQL, "op6_poisson_mix": mixing.OP6_SQL}

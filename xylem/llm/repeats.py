@@ -1,16 +1,18 @@
 """Exact repeats of long byte strings, by a distributed difference cover.
 
 A difference cover modulo v holds, for any two positions, a shift below v that takes both onto sampled residues. So any two
-equal strings of 400 bytes hold a pair of sampled positions, equally far in, with 400 - v + 1 equal bytes after them. The steps:
+equal strings of 400 bytes hold a pair of sampled positions, equally far in, with the same bytes after them. The cover is re-phased at
+content-defined boundaries: a boundary is sampled itself (equal strings have it at the same place), and the cover is laid only where no
+boundary came for a while, which it does for any two phases. The steps:
 
-1. sample each document's positions by the cover (18 of every 307), name each by the bytes that must agree there, and by its whole window
-   (everything a 400-byte string through it can touch);
+1. sample each document's positions, name each by the bytes that must agree there, and by its whole window
+   (everything that a 400-byte string which meets at this sample can touch);
 2. sort the names; sampled positions with equal neighbours form groups. Equal windows settle all strings through them at once;
 3. where a group has different windows, one position of each window stands for it, and the strings through it (the non-sampled
    positions, merged in by their distance to the sample) are named in full and compared;
 4. what is covered is cut out of each document.
 
-Names are fingerprints of bounded prefixes (96 bits in step 2, 128 in step 3), not ranks: the question is only
+Names are fingerprints of bounded prefixes (96 bits in step 2, 80 in step 3), not ranks: the question is only
 whether 400 bytes agree, so ranks of unbounded suffixes, and the recursion that gives them, are not needed.
 """
 
@@ -55,22 +57,51 @@ def difference_cover(q: int) -> tuple[int, tuple[int, ...]]:
     raise ValueError(f"{q} is no prime")
 
 
-def order(length: int) -> int:
-    """The largest prime q whose cover leaves at least a fifth of ``length`` to compare."""
-    return max(q for q in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31) if q == 2 or 5 * (length - q * q - q) >= length)
+class Cover:
+    """Where to sample for strings of ``length`` bytes.
+
+    ``context``: bytes before a position that decide whether it is a boundary, one in ``mean`` positions. ``wait``: bytes without a boundary
+    after which the cover starts. A string that starts at p meets another one at its first boundary from p + context on, or, if there is
+    none in the next ``wait + v`` bytes, at a position of the cover ``wait`` bytes further or more. ``need`` bytes after a sample always agree.
+    """
+
+    def __init__(self, length: int):
+        self.length, self.context, self.mean, self.wait = length, max(2, length // 25), max(4, length * 12 // 100), length * 8 // 25
+        self.v, residues = difference_cover(max(q for q in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31) if q == 2 or 3 * (q * q + q + 1) <= length))
+        self.steps = np.array(residues, np.int64)
+        self.span = self.context + self.wait + self.v
+        self.need = length - self.span + 1
+
+    def samples(self, data: np.ndarray, name: Prefixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions x, distances l and m): strings that start in [x - l, x - m] meet at x."""
+        n, c = len(data), self.context
+        at = np.arange(c, n + 1)
+        edges = at[name(at - c, at) < np.uint64(2**64 // self.mean)]
+        before = np.concatenate([[0], edges[:-1]]) if len(edges) else edges
+        x, last, near = [edges], [before], [np.full(len(edges), c)]
+        starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [n]])
+        for s, e in zip(starts[ends - starts > self.wait].tolist(), ends[ends - starts > self.wait].tolist(), strict=True):
+            t = (np.arange(self.wait // self.v * self.v, e - s, self.v)[:, None] + self.steps).ravel()
+            t = s + t[(t >= self.wait) & (t < e - s)]
+            x.append(t)
+            last.append(np.full(len(t), s))
+            near.append(np.full(len(t), c + self.wait))
+        x, last, m = np.concatenate(x), np.concatenate(last), np.concatenate(near)
+        l = np.minimum(np.minimum(x - last + c - 1, self.span - 1), x)
+        keep = (l >= m) & (x - l + self.length <= n) & (x + self.need <= n)
+        return x[keep], l[keep], m[keep]
 
 
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def samples(df: DataFrame, length: int, q: int) -> DataFrame:
+def samples(df: DataFrame, length: int) -> DataFrame:
     """(k, x, h, w) for the sampled positions x of each text (k, t): names of the bytes after x and of the window around it."""
-    v, residues = difference_cover(q)
-    need, left = length - v + 1, v - 1
-    steps = np.array(residues, np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cover = Cover(length)
+        frame = lambda out: pd.DataFrame({c: np.concatenate(p).astype(np.int64) for c, p in zip(("k", "x", "l", "m", "h", "w"), zip(*out, strict=True), strict=True)})
         for b in batches:
             out, have = [], 0
             for k, t in zip(b["k"], b["t"], strict=True):
@@ -78,25 +109,25 @@ def samples(df: DataFrame, length: int, q: int) -> DataFrame:
                 n = len(data)
                 if n < length:
                     continue
-                x = (np.arange(0, n, v)[:, None] + steps).ravel()
-                x = x[x + need <= n]
                 name = Prefixes(data)
-                l, r = np.minimum(x, left), np.minimum(length, n - x)
-                w = name(x - l, x + r) + l.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                out.append((np.full(len(x), k), x, name(x, x + need) & _LOW, w & _LOW))
+                x, l, m = cover.samples(data, name)
+                w = name(x - l, np.minimum(x - m + length, n)) + l.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                h = name(x, x + cover.need) + m.astype(np.uint64)
+                out.append((np.full(len(x), k), x, l, m, h & _LOW, w & _LOW))
                 have += len(x)
                 if have > 200_000:
-                    yield pd.DataFrame({c: np.concatenate(p).astype(np.int64) for c, p in zip("kxhw", zip(*out, strict=True), strict=True)})
+                    yield frame(out)
                     out, have = [], 0
             if out:
-                yield pd.DataFrame({c: np.concatenate(p).astype(np.int64) for c, p in zip("kxhw", zip(*out, strict=True), strict=True)})
+                yield frame(out)
 
-    return df.mapInPandas(run, "k long, x int, h long, w long")
+    # The two distances are at most ``length``; they travel in the low bits of the position.
+    rows = df.mapInPandas(run, "k long, x long, l long, m long, h long, w long")
+    return rows.select("k", (F.col("x") * (1 << 24) + F.col("l") * (1 << 12) + F.col("m")).alias("x"), "h", "w")
 
 
-def through(df: DataFrame, length: int, q: int) -> DataFrame:
-    """(k, p, a, b): 128-bit names of the strings through the positions in ``stand`` of each text (k, t, cover, stand)."""
-    v, _ = difference_cover(q)
+def through(df: DataFrame, length: int) -> DataFrame:
+    """(k, p, a, b): 80-bit names of the strings that meet at the samples in ``stand`` of each text (k, t, stand)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -104,26 +135,30 @@ def through(df: DataFrame, length: int, q: int) -> DataFrame:
                 if stand is None or not len(stand):
                     continue
                 data = _bytes(t)
-                x = np.asarray(stand, np.int64)
+                x, l, m = unpacked(stand)
                 mark = np.zeros(len(data) + 1, np.int32)
-                np.add.at(mark, np.maximum(x - v + 1, 0), 1)
-                np.add.at(mark, x + 1, -1)
+                np.add.at(mark, x - l, 1)
+                np.add.at(mark, x - m + 1, -1)
                 p = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                 p = p[p + length <= len(data)]
-                a, b2 = (Prefixes(data, i)(p, p + length).view(np.int64) for i in (0, 1))
+                a, b2 = Prefixes(data)(p, p + length).view(np.int64), (Prefixes(data, 1)(p, p + length) & np.uint64(0x7FFF)).astype(np.int16)
                 for at in range(0, len(p), 200_000):
                     part = slice(at, at + 200_000)
                     yield pd.DataFrame({"k": k, "p": p[part].astype(np.int32), "a": a[part], "b": b2[part]})
 
-    return df.mapInPandas(run, "k long, p int, a long, b long")
+    return df.mapInPandas(run, "k long, p int, a long, b short")
+
+
+def unpacked(packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    v = np.asarray([] if packed is None else packed, np.int64)
+    return v >> 24, v >> 12 & 0xFFF, v & 0xFFF
 
 
 CUT_SCHEMA = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def cut(df: DataFrame, length: int, q: int, keep: bool) -> DataFrame:
+def cut(df: DataFrame, length: int, keep: bool) -> DataFrame:
     """Cut the covered bytes out of each text (k, t, cover, again): windows around ``cover``, strings at ``again``."""
-    v, _ = difference_cover(q)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -132,9 +167,9 @@ def cut(df: DataFrame, length: int, q: int, keep: bool) -> DataFrame:
                 data = _bytes(t)
                 n = len(data)
                 mark = np.zeros(n + 1, np.int32)
-                x = np.asarray([] if cover is None else cover, np.int64)
+                x, l, m = unpacked(cover)
                 p = np.asarray([] if again is None else again, np.int64)
-                for start, end in ((np.maximum(x - v + 1, 0), np.minimum(x + length, n)), (p, p + length)):
+                for start, end in ((x - l, np.minimum(x - m + length, n)), (p, p + length)):
                     np.add.at(mark, start, 1)
                     np.add.at(mark, end, -1)
                 gone = np.cumsum(mark[:-1]) > 0
@@ -153,19 +188,19 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     Null and empty texts have no bytes. Keys are unique integers; repeated rows are copies of one another, and so lose everything if long enough.
     A null key is a key of its own. An empty table gives an empty result.
     """
-    q = order(length)
     null = -(2**63) + 1
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(null)).alias("k"), F.col(text).cast("string").alias("t"))
-    named = samples(base.filter(F.octet_length("t") >= length), length, q)
+    named = samples(base.filter(F.octet_length("t") >= length), length)
     group, window = Window.partitionBy("h"), Window.partitionBy("h", "w")
     seen = named.withColumn("most", F.max("w").over(group)).withColumn("least", F.min("w").over(group)).withColumn("members", F.count("*").over(group)).filter("members > 1")
     seen = seen.withColumn("turn", F.row_number().over(window.orderBy("k", "x"))).withColumn("same", F.count("*").over(window))
     seen = seen.select("k", "x", (F.col("same") > 1).alias("cover"), ((F.col("most") != F.col("least")) & (F.col("turn") == 1)).alias("stand")).filter("cover or stand")
     lists = seen.groupBy("k").agg(F.collect_list(F.when(F.col("cover"), F.col("x"))).alias("cover"), F.collect_list(F.when(F.col("stand"), F.col("x"))).alias("stand"))
+    lists = materialise(lists, "lists").filter(F.size("cover") + F.size("stand") > 0)  # all; a filter lets Spark put a Bloom filter on the texts
     touched = materialise(base.join(lists, "k"), "touched")
-    full = through(touched.filter(F.size("stand") > 0).select("k", "t", "stand"), length, q)
+    full = through(touched.filter(F.size("stand") > 0).select("k", "t", "stand"), length)
     again = full.withColumn("n", F.count("*").over(Window.partitionBy("a", "b"))).filter("n > 1").groupBy("k").agg(F.collect_set("p").alias("again"))
-    done = cut(touched.select("k", "t", "cover").join(again, "k", "left"), length, q, keep)
+    done = cut(touched.select("k", "t", "cover").join(again, "k", "left"), length, keep)
     whole = base.select("k", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce(F.encode("t", "UTF-8"), F.lit(b"")), 256).alias("kept_sha256"), *([F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.coalesce(F.encode("t", "UTF-8"), F.lit(b"")).alias("kept")] if keep else []))
     names = ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept"] if keep else [])]
     out = done.select(names).unionByName(whole.join(touched.select("k").distinct(), "k", "left_anti").select(names))
