@@ -29,7 +29,7 @@ HIDDEN, CLASSES, CLASS_SIZE = 32, 64, 64
 HEAD = 150_000
 #: Words of the warm-up sample (a bounded one), and one in so many training documents that the distributed training takes.
 WARM_TOKENS, SHARE = 400_000, 16
-LANES, WINDOW, RATE = 128, 32, 0.1
+LANES, WINDOW, RATE = 32, 32, 0.2
 SCORE_LANES, SCORE_WINDOW = 256, 64
 #: Distinct words that a counting task holds before it passes them on.
 COUNTED = 400_000
@@ -317,11 +317,13 @@ def train(docs: DataFrame, v: Vocabulary, warm_tokens: int = WARM_TOKENS, share:
                 if n >= warm_tokens:
                     return
 
-        t.learn(some(), lanes=32)
+        t.learn(some())
         yield pack(t)
 
-    order = F.xxhash64("key", F.lit("warm"))
-    sample = docs.filter(F.pmod(order, F.lit(64)) == 0).select("text", order.alias("o")).orderBy("o").limit(max(1, warm_tokens // 100)).select("text").coalesce(1)
+    ends = int(v.freq[v.end])
+    parts = max(1, v.tokens // max(1, warm_tokens))  # of which one is the sample
+    sample = docs.filter(F.pmod(F.xxhash64("key", F.lit("warm")), F.lit(parts)) == 0).select("text") if ends else docs.limit(0).select("text")
+    sample = sample.repartition(1)
     schema = "n long, blob binary"
     warmed = sample.mapInPandas(warm, schema).first()
     first = Model(**pickle.loads(warmed["blob"])) if warmed else Model.start(v.freq)
@@ -329,7 +331,7 @@ def train(docs: DataFrame, v: Vocabulary, warm_tokens: int = WARM_TOKENS, share:
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = Trainer(begun.value, sent.value.end, RATE / 2)
-        t.learn(texts(batches), lanes=32)
+        t.learn(texts(batches))
         if t.seen:
             yield pack(t)
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import drop_materialised, materialise
+from ..session import broadcast_if_small, materialise
 from .graph import components
 from .hashing import Prefixes, random64
 
@@ -27,6 +27,8 @@ BANDS, ROWS, BITS = 32, 6, 2
 MARGIN = 0.2
 PIVOT_ROUNDS = 2
 TILE = 1500
+#: Keys to remove are broadcast up to this number.
+BROADCAST_ROWS = 500_000
 _N = BANDS * ROWS
 _A = (random64(_N, 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (random64(_N, 12) >> np.uint64(32)).astype(np.uint32)
@@ -228,4 +230,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The documents without those that a smaller key of their group stands for; same columns, whole rows."""
     gone = near_duplicates(docs, key, text, percent=percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
+    gone = broadcast_if_small(materialise(gone, "gone"), BROADCAST_ROWS)
     return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")

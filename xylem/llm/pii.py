@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import broadcast_if_small, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive repeats and look-behinds give the matches of the plain patterns in time linear in the text.
@@ -28,6 +28,8 @@ TOKEN_CHARS, TOKEN_DIGITS = 6, 4
 ROUNDS = 2
 #: Different instances that a pattern needs among the seeds, its share of confident instances, and the confidence of what it finds.
 SUPPORT, PRECISION, CONFIDENCE = 3, 0.8, 0.9
+#: Texts with spans are broadcast up to this number when they are cut.
+BROADCAST_ROWS = 200_000
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
@@ -165,6 +167,7 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spans = extract(df, key, text)
     label = lambda kind: F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"<{kind.upper()}>").alias("l")))
     spans = spans.select(F.col("k").alias("_k"), F.col("h").alias("_h"), F.array_sort(F.concat(*[label(k) for k in (*KINDS, "context")])).alias("_spans")).filter(F.size("_spans") > 0).distinct()
+    spans = broadcast_if_small(materialise(spans, "spans"), BROADCAST_ROWS)
     t = F.col(text).cast("string")
 
     def step(acc: Column, x: Column) -> Column:
