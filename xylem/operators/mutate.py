@@ -166,7 +166,9 @@ def apply_edits(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     kind = nodes.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, {NODES}"
     schema = _arrow_schema(spark, ddl)
-    touched = edits.select("doc_id").distinct()
+    # New names and back: edits are often made from the nodes, and a cogroup can't tell their columns apart then.
+    edits = edits.select(*[F.col(c).alias(f"_{c}") for c in edits.columns]).toDF(*edits.columns)
+    touched = edits.select(F.col("doc_id").alias("_doc")).distinct()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         tree, out = Tree(left.to_pylist()), []
@@ -179,8 +181,8 @@ def apply_edits(nodes: DataFrame, edits: DataFrame) -> DataFrame:
         rows = [{f.name: r.get(f.name) for f in schema} for r in [*tree.rows(), *out]]
         return pa.Table.from_pylist(rows, schema=schema)
 
-    changed = nodes.join(touched, "doc_id", "left_semi").groupBy("doc_id").cogroup(edits.groupBy("doc_id")).applyInArrow(run, ddl)
-    same = nodes.join(touched, "doc_id", "left_anti")
+    changed = nodes.join(touched, F.col("doc_id") == F.col("_doc"), "left_semi").groupBy("doc_id").cogroup(edits.groupBy("doc_id")).applyInArrow(run, ddl)
+    same = nodes.join(touched, F.col("doc_id") == F.col("_doc"), "left_anti")
     if "error" not in same.columns:
         same = same.withColumn("error", F.lit(None).cast(changed.schema["error"].dataType))
     return same.select(changed.columns).unionByName(changed)
