@@ -15,6 +15,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ HEAD = 150_000
 #: Words of the warm-up sample (a bounded one), and one in so many training documents that the distributed training takes.
 WARM_TOKENS, SHARE = 400_000, 16
 LANES, WINDOW, RATE = 32, 32, 0.2
-SCORE_LANES, SCORE_WINDOW = 256, 64
+SCORE_LANES, SCORE_WINDOW = 256, 128
 #: Distinct words that a counting task holds before it passes them on.
 COUNTED = 400_000
 END = b""
@@ -120,8 +121,17 @@ class Model:
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
-    top = s.max(axis=1)
-    return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+    """The log of the sum of exponentials of each row; by the row's own maximum where the values spread too far for one of all."""
+    top = s.max()
+    if top - s.min() > 60:
+        own = s.max(axis=1)
+        return own + np.log(np.exp(s - own[:, None]).sum(axis=1))
+    return top + np.log(np.exp(s - top) @ np.ones(s.shape[1], s.dtype))
+
+
+def _places(lookup: dict[bytes, int], own: list[bytes]) -> np.ndarray:
+    """The place of each word in the head, -1 outside."""
+    return np.array(list(map(lookup.get, own, repeat(-1))), np.int64)
 
 
 class Trainer:
@@ -270,7 +280,7 @@ class Vocabulary:
 
 
 def _ids(v: Vocabulary, places: dict[bytes, int], text: str | None) -> np.ndarray:
-    at = np.fromiter((places.get(w, -1) for w in words(text)), np.int64)
+    at = _places(places, words(text))
     return np.append(np.where(at >= 0, v.ids[at], v.unknown) if len(at) and len(v.ids) else np.full(len(at), v.unknown), v.end)
 
 
@@ -378,9 +388,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int =
             out, seqs = [], []
             for k, t, held_out in zip(b["key"], b["text"], b["held_out"], strict=True):
                 own = words(t)
-                at = np.fromiter((places.get(w, -1) for w in own), np.int64, len(own))
+                at = _places(places, own)
+                rest = [own[i] for i in np.flatnonzero(at < 0).tolist()]
                 at = np.append(at, end)
-                rest = [w for w, i in zip(own, at, strict=False) if i < 0]
                 known = at >= 0
                 base = counted[at][known].sum() - len(at) * all_base
                 if end < 0:  # there were no training rows: the end is as unseen as all else
