@@ -248,15 +248,15 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
 
     A null or empty page has the text ''. Pages without a host share the host ''. Repeated rows have equal results, an empty table gives none.
     """
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"), host(F.col(url)).alias("host"))
+    rows = pages.select(F.col(key).cast("string").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"), host(F.col(url)).alias("host"))
     found = materialise(wrappers(rows.select("host", "html")), "wrappers")
     size = found.agg(F.sum(F.length("host") + F.length("wrapper") + F.length("part")).alias("n")).first()["n"] or 0
     both = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
-    schema = f"page_id {pages.schema[key].dataType.simpleString()}, url string, text string, n_chars long, wrapper string"
+    schema = "page_id string, url string, text string, n_chars long, wrapper string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [article(Page(s or ""), p or "") for s, p in zip(b["html"], b["part"], strict=True)]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts], "wrapper": b["wrapper"]})
 
-    return both.mapInPandas(run, schema)
+    return both.mapInPandas(run, schema).withColumn("page_id", F.col("page_id").cast(pages.schema[key].dataType))

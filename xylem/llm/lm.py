@@ -359,7 +359,7 @@ def train(docs: DataFrame, v: Vocabulary, warm_tokens: int = WARM_TOKENS, share:
     return Model(**pickle.loads(mean(level)["blob"][0])) if len(level) else first
 
 
-SCORED = "key long, held_out boolean, n_tokens long, n_known long, base double, score double, n_rest long, rest array<binary>"
+SCORED = "key string, held_out boolean, n_tokens long, n_known long, base double, score double, n_rest long, rest array<binary>"
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int = 2, of: int = 7) -> DataFrame:
@@ -403,10 +403,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int =
             got = lane_scores(model, seqs, v.end) / math.log(10)
             frame = pd.DataFrame(out, columns=["key", "held_out", "n_tokens", "n_known", "base", "score", "n_rest", "rest"])
             frame["score"] += got
-            frame["key"] = frame["key"].astype("Int64")
             yield frame
 
-    scored = materialise(rows.mapInPandas(run, SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = materialise(rows.withColumn("key", F.col("key").cast("string")).mapInPandas(run, SCORED).withColumn("key", F.col("key").cast("long")).withColumn("row", F.monotonically_increasing_id()), "scored")
     # A row's words outside the head, each once with its number, meet their counts.
     loose = scored.filter("n_rest > 0").select("row", F.explode("rest").alias("word")).groupBy("word", "row").agg(F.count("*").alias("n"))
     found = loose.join(counts, "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("more_known"))

@@ -19,8 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import key_text
+
 UNIT = 576
 PAD = 255
 MULAW, ALAW, IMA = 7, 6, 17
@@ -156,7 +159,7 @@ def ima_views(payloads: list[bytes]) -> list[int]:
 
 
 AUDIO_SCHEMA = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
+    "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
     "media_sha256 string, feature string"
 )
 
@@ -192,4 +195,4 @@ def texts_as_telephony(df: DataFrame, key: str = "doc_id", text: str = "text", k
                 out["pcm"] = [wav(1, p.astype("<i2").tobytes(), 16000, 2, 16) for p in out["pcm"]]
             yield out if keep_media else out.drop(columns=["media", "pcm"])
 
-    return df.selectExpr(f"cast(`{key}` as long) doc_id", f"cast(`{text}` as string) text").mapInPandas(run, schema)
+    return df.select(key_text(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))

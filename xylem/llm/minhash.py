@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialise
+from ..session import broadcast_if_small, key_text, materialise
 from .graph import components
 from .hashing import Prefixes, random64
 
@@ -90,9 +90,9 @@ def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 low = minima(h)
                 bands = (low.reshape(BANDS, ROWS).astype(np.uint64) * _KEY[:ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * _KEY[ROWS]
                 rows.append((k, len(h), hashlib.md5(h.tobytes()).digest(), pack(low), bands.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "n", "digest", "sig", "bands"]).astype({"id": "Int64"})
+            yield pd.DataFrame(rows, columns=["id", "n", "digest", "sig", "bands"])
 
-    return df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).mapInPandas(run, "id long, n long, digest binary, sig binary, bands array<long>")
+    return df.select(key_text(key).alias("k"), F.col(text).cast("string").alias("t")).mapInPandas(run, "id string, n long, digest binary, sig binary, bands array<long>").withColumn("id", F.col("id").cast("long"))
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     buckets = materialise(banded.join(shared, "key"), "buckets")
     # How central a member is: the more company it has in its buckets, the more likely its links join what is there.
     central = materialise(buckets.groupBy("id").agg(F.sum("m").alias("company")), "members")
-    sets = materialise(shingle_sets(docs.join(central.filter("company > 1").select(F.col("id").alias("_id")), F.col(key) == F.col("_id"), "left_semi"), key, text, words).dropDuplicates(["id"]), "hashes")
+    sets = materialise(shingle_sets(docs.join(central.filter("company > 1").select(F.col("id").alias("__xylem_id")), F.col(key) == F.col("__xylem_id"), "left_semi"), key, text, words).dropDuplicates(["id"]), "hashes")
     buckets = materialise(buckets.join(central, "id"), "buckets")
     links, labels, tested = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
@@ -229,6 +229,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The documents without those that a smaller key of their group stands for; same columns, whole rows."""
-    gone = near_duplicates(docs, key, text, percent=percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
+    gone = near_duplicates(docs, key, text, percent=percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__xylem_gone"))
     gone = broadcast_if_small(materialise(gone, "gone"), BROADCAST_ROWS)
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(key) == F.col("__xylem_gone"), "left_anti")

@@ -11,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, materialise
+
 #: Weight of a source: its share of characters to this power (below 1 evens sources out).
 TEMPERATURE = 0.7
 #: Characters drawn for each character there.
 BUDGET = 1.0
 SEED = 17
+#: Sources up to this number are broadcast with their rates, so that no text is shuffled by source.
+BROADCAST_ROWS = 50_000
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -51,8 +55,8 @@ def source_rates(df: DataFrame, source: str, size: Column, temperature: float =
     if weights is None:
         sums = sums.withColumn("w", F.pow(F.col("chars").cast("double"), F.lit(temperature)))
     else:
-        w = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("w"))
-        sums = sums.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("w", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)))
+        w = weights.select(F.col("source").alias("__xylem_s"), F.col("weight").cast("double").alias("w"))
+        sums = sums.join(w, F.col("source").eqNullSafe(F.col("__xylem_s")), "left").drop("__xylem_s").withColumn("w", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)))
     total = sums.agg(F.sum("chars").alias("all_chars"), F.sum("w").alias("all_w"))
     return sums.crossJoin(F.broadcast(total)).select(  # one row on the right
         "source", "chars",
@@ -66,17 +70,18 @@ def poisson_mix(df: DataFrame, key: str = "doc_id", source: str = "source", text
     Adds ``rate``, ``n_copies``, ``copy`` (from 0) and ``shuffle_key``; columns with these names are replaced.
     A null source is a source of its own, a null text has size 0, equal keys get equal counts, and a null key
     counts as the key ''. Sources hold any share of the rows: the table of rates is one row for each source and
-    the join on it is left to adaptive execution, which broadcasts it below the threshold and splits skewed sources above.
+    is broadcast up to a checked number of them; above it, adaptive execution splits the skewed sources of a shuffled join.
     """
     df = df.drop("rate", "n_copies", "copy", "shuffle_key")
     rates = source_rates(df, source, F.coalesce(F.length(F.col(text)), F.lit(0)), temperature, budget, weights)
-    rates = rates.select(F.col("source").alias("_source"), F.col("rate"), poisson_cdf(F.col("rate")).alias("_cdf"))
+    rates = rates.select(F.col("source").alias("__xylem_source"), F.col("rate"), poisson_cdf(F.col("rate")).alias("__xylem_cdf"))
+    rates = broadcast_if_small(materialise(rates, "rates"), BROADCAST_ROWS)
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
     counted = (
-        df.join(rates, F.col(source).eqNullSafe(F.col("_source")))
-        .withColumn("_u", unit_hash(F.lit(str(seed)), k))
-        .withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
-        .drop("_source", "_cdf", "_u")
+        df.join(rates, F.col(source).eqNullSafe(F.col("__xylem_source")))
+        .withColumn("__xylem_u", unit_hash(F.lit(str(seed)), k))
+        .withColumn("n_copies", F.size(F.filter("__xylem_cdf", lambda c: c <= F.col("__xylem_u"))))
+        .drop("__xylem_source", "__xylem_cdf", "__xylem_u")
         .filter("n_copies > 0")
     )
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))

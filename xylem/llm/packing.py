@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import key_text, materialise
 
 CAPACITY = 2048
 #: Buckets within a length: ranks are counted within a bucket, so a length that a third of all pieces have spreads over so many groups.
@@ -65,9 +65,9 @@ def encoder(path: str):
 def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """A row for each piece of each document: ids and a closing 0, longer ones cut into ``capacity`` ids, the first piece shorter.
 
-    A null or empty text is one piece with the closing 0. Repeated rows give repeated pieces; the ``row`` hash tells them apart nowhere else.
+    A null or empty text is one piece with the closing 0. Repeated rows give repeated pieces.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
@@ -80,9 +80,9 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 for i, at in enumerate([0, *range(first, n, capacity)] if n > first else [0]):
                     part = ids[at : first if i == 0 else at + capacity]
                     rows.append((k, i, at, len(part), zlib.crc32(part.tobytes()), *([part.astype("int32")] if keep_ids else [])))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
 
-    return df.selectExpr(f"cast(`{key}` as long) doc_id", f"cast(`{text}` as string) text").mapInPandas(run, schema)
+    return df.select(key_text(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -141,8 +141,8 @@ def extract(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     A null text is an empty one; rows with equal key and text have equal spans, null keys too. An empty table gives no rows.
     """
     found = materialise(found_in(df, key, text), "found")
-    new = discovered(found).withColumnsRenamed({"k": "_k", "h": "_h"})
-    joined = found.drop("tokens").join(new, (F.col("h") == F.col("_h")) & F.col("k").eqNullSafe(F.col("_k")), "left")
+    new = discovered(found).withColumnsRenamed({"k": "__xylem_k", "h": "__xylem_h"})
+    joined = found.drop("tokens").join(new, (F.col("h") == F.col("__xylem_h")) & F.col("k").eqNullSafe(F.col("__xylem_k")), "left")
     return joined.select("k", "h", *KINDS, F.coalesce("context", F.expr("cast(array() as array<struct<s:int,e:int>>)")).alias("context"))
 
 
@@ -166,7 +166,7 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     spans = extract(df, key, text)
     label = lambda kind: F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"<{kind.upper()}>").alias("l")))
-    spans = spans.select(F.col("k").alias("_k"), F.col("h").alias("_h"), F.array_sort(F.concat(*[label(k) for k in (*KINDS, "context")])).alias("_spans")).filter(F.size("_spans") > 0).distinct()
+    spans = spans.select(F.col("k").alias("__xylem_k"), F.col("h").alias("__xylem_h"), F.array_sort(F.concat(*[label(k) for k in (*KINDS, "context")])).alias("__xylem_spans")).filter(F.size("__xylem_spans") > 0).distinct()
     spans = broadcast_if_small(materialise(spans, "spans"), BROADCAST_ROWS)
     t = F.col(text).cast("string")
 
@@ -174,6 +174,6 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         more = F.concat(acc["o"], F.substring(t, acc["p"] + 1, F.greatest(x["s"] - acc["p"], F.lit(0))), F.when(x["s"] >= acc["p"], x["l"]).otherwise(""))
         return F.when(x["e"] <= acc["p"], acc).otherwise(F.struct(x["e"].alias("p"), more.alias("o")))
 
-    cut = F.aggregate("_spans", F.struct(F.lit(0).alias("p"), F.lit("").alias("o")), step, lambda a: F.concat(a["o"], F.substring(t, a["p"] + 1, F.lit(2**31 - 1))))
-    both = df.join(spans, (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col("_h")) & F.col(key).cast("long").eqNullSafe(F.col("_k")), "left")
-    return both.withColumn(text, F.when(F.col("_spans").isNull(), t).otherwise(cut)).select(df.columns)
+    cut = F.aggregate("__xylem_spans", F.struct(F.lit(0).alias("p"), F.lit("").alias("o")), step, lambda a: F.concat(a["o"], F.substring(t, a["p"] + 1, F.lit(2**31 - 1))))
+    both = df.join(spans, (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col("__xylem_h")) & F.col(key).cast("long").eqNullSafe(F.col("__xylem_k")), "left")
+    return both.withColumn(text, F.when(F.col("__xylem_spans").isNull(), t).otherwise(cut)).select(df.columns)

@@ -96,12 +96,41 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
+def folded(names: list[np.ndarray], k: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+    """Rows of equal names in a chunk become one, which carries the others (keys and positions in turn): a hot name is a row for each chunk, not for each place."""
+    order = np.lexsort(names[::-1])
+    names, k, x = [n[order] for n in names], k[order], x[order]
+    new = np.ones(len(k), bool)
+    new[1:] = np.logical_or.reduce([n[1:] != n[:-1] for n in names])
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(k)))
+    others: list = [None] * len(first)
+    for i in np.flatnonzero(sizes > 1):
+        part = slice(first[i] + 1, first[i] + sizes[i])
+        others[i] = np.stack([k[part], x[part]], axis=1).ravel()
+    return pd.DataFrame({"k": k[first], "x": x[first], **{f"n{i}": n[first] for i, n in enumerate(names)}, "others": others})
+
+
+def all_places(rows: DataFrame, *more: str) -> DataFrame:
+    """A row (k, x) for each place that the rows stand for."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size("others"), F.lit(2)), lambda i: F.struct(F.element_at("others", i).alias("k"), F.element_at("others", i + 1).alias("x")))
+    own = F.array(F.struct("k", "x"))
+    return rows.select(F.explode(F.when(F.col("others").isNull(), own).otherwise(F.concat(own, pairs))).alias("_p"), *more).select("_p.k", "_p.x", *more)
+
+
 def samples(df: DataFrame, length: int) -> DataFrame:
-    """(k, x, h, w) for the sampled positions x of each text (k, t): names of the bytes after x and of the window around it."""
+    """(k, x, h, w, others) for the sampled positions of each text (k, t): names of the bytes after x and of the window around it.
+
+    x is packed: the position and, in its low 24 bits, the two distances of the strings that meet there.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cover = Cover(length)
-        frame = lambda out: pd.DataFrame({c: np.concatenate(p).astype(np.int64) for c, p in zip(("k", "x", "l", "m", "h", "w"), zip(*out, strict=True), strict=True)})
+
+        def frame(out: list) -> pd.DataFrame:
+            k, x, l, m, h, w = (np.concatenate(p) for p in zip(*out, strict=True))
+            return folded([h.view(np.int64), w.view(np.int64)], k, (x << 24) + (l << 12) + m)
+
         for b in batches:
             out, have = [], 0
             for k, t in zip(b["k"], b["t"], strict=True):
@@ -121,36 +150,44 @@ def samples(df: DataFrame, length: int) -> DataFrame:
             if out:
                 yield frame(out)
 
-    # The two distances are at most ``length``; they travel in the low bits of the position.
-    rows = df.mapInPandas(run, "k long, x long, l long, m long, h long, w long")
-    return rows.select("k", (F.col("x") * (1 << 24) + F.col("l") * (1 << 12) + F.col("m")).alias("x"), "h", "w")
+    return df.mapInPandas(run, "k long, x long, n0 long, n1 long, others array<long>").withColumnsRenamed({"n0": "h", "n1": "w"})
 
 
 def through(df: DataFrame, length: int) -> DataFrame:
-    """(k, p, a, b): 80-bit names of the strings that meet at the samples in ``stand`` of each text (k, t, stand)."""
+    """(k, x, a, b, others): 80-bit names of the strings that meet at the samples in ``stand`` of each text (k, t, stand); x is where they start."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda out: folded([np.concatenate(p) for p in list(zip(*out, strict=True))[2:]], *(np.concatenate(p) for p in list(zip(*out, strict=True))[:2]))
         for b in batches:
+            out, have = [], 0
             for k, t, stand in zip(b["k"], b["t"], b["stand"], strict=True):
                 if stand is None or not len(stand):
                     continue
                 data = _bytes(t)
-                x, l, m = unpacked(stand)
+                x, l, m = unpacked(stand, len(data))
                 mark = np.zeros(len(data) + 1, np.int32)
                 np.add.at(mark, x - l, 1)
                 np.add.at(mark, x - m + 1, -1)
                 p = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                 p = p[p + length <= len(data)]
-                a, b2 = Prefixes(data)(p, p + length).view(np.int64), (Prefixes(data, 1)(p, p + length) & np.uint64(0x7FFF)).astype(np.int16)
+                one, two = Prefixes(data), Prefixes(data, 1)
                 for at in range(0, len(p), 200_000):
-                    part = slice(at, at + 200_000)
-                    yield pd.DataFrame({"k": k, "p": p[part].astype(np.int32), "a": a[part], "b": b2[part]})
+                    q = p[at : at + 200_000]
+                    out.append((np.full(len(q), k), q, one(q, q + length).view(np.int64), (two(q, q + length) & np.uint64(0x7FFF)).astype(np.int16)))
+                    have += len(q)
+                    if have > 200_000:
+                        yield frame(out)
+                        out, have = [], 0
+            if out:
+                yield frame(out)
 
-    return df.mapInPandas(run, "k long, p int, a long, b short")
+    return df.mapInPandas(run, "k long, x long, n0 long, n1 short, others array<long>").withColumnsRenamed({"n0": "a", "n1": "b"})
 
 
-def unpacked(packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(packed, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions within a text of ``n`` bytes and their distances."""
     v = np.asarray([] if packed is None else packed, np.int64)
+    v = v[v >> 24 < n]
     return v >> 24, v >> 12 & 0xFFF, v & 0xFFF
 
 
@@ -167,8 +204,9 @@ def cut(df: DataFrame, length: int, keep: bool) -> DataFrame:
                 data = _bytes(t)
                 n = len(data)
                 mark = np.zeros(n + 1, np.int32)
-                x, l, m = unpacked(cover)
+                x, l, m = unpacked(cover, n)
                 p = np.asarray([] if again is None else again, np.int64)
+                p = p[p + length <= n]
                 for start, end in ((x - l, np.minimum(x - m + length, n)), (p, p + length)):
                     np.add.at(mark, start, 1)
                     np.add.at(mark, end, -1)
@@ -185,23 +223,29 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     """Remove every byte that a ``length``-byte string covers which also starts anywhere else.
 
     Result: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep`` the removed spans and the bytes kept.
-    Null and empty texts have no bytes. Keys are unique integers; repeated rows are copies of one another, and so lose everything if long enough.
-    A null key is a key of its own. An empty table gives an empty result.
+    Null and empty texts have no bytes. Keys are integers above -2^62 and tell texts apart; repeated rows are copies of one another, and so lose
+    everything if long enough. Rows with a null key are told apart by their texts. An empty table gives an empty result.
     """
-    null = -(2**63) + 1
-    base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(null)).alias("k"), F.col(text).cast("string").alias("t"))
+    nameless = F.lit(-(2**62)) - F.xxhash64(F.col(text).cast("string")).bitwiseAND(2**61 - 1)
+    base = docs.select(F.coalesce(F.col(key).cast("long"), nameless).alias("k"), F.col(text).cast("string").alias("t"))
     named = samples(base.filter(F.octet_length("t") >= length), length)
     group, window = Window.partitionBy("h"), Window.partitionBy("h", "w")
-    seen = named.withColumn("most", F.max("w").over(group)).withColumn("least", F.min("w").over(group)).withColumn("members", F.count("*").over(group)).filter("members > 1")
+    many = F.col("others").isNotNull()
+    seen = named.withColumn("most", F.max("w").over(group)).withColumn("least", F.min("w").over(group)).withColumn("members", F.count("*").over(group)).filter((F.col("members") > 1) | many)
     seen = seen.withColumn("turn", F.row_number().over(window.orderBy("k", "x"))).withColumn("same", F.count("*").over(window))
-    seen = seen.select("k", "x", (F.col("same") > 1).alias("cover"), ((F.col("most") != F.col("least")) & (F.col("turn") == 1)).alias("stand")).filter("cover or stand")
+    seen = seen.select("k", "x", "others", ((F.col("same") > 1) | many).alias("cover"), ((F.col("most") != F.col("least")) & (F.col("turn") == 1)).alias("stand")).filter("cover or stand")
+    # Whoever stands for a window stands alone; those it stands for are covered.
+    placed = F.array(F.struct("k", "x", "stand"))
+    rest = F.transform(F.sequence(F.lit(1), F.size("others"), F.lit(2)), lambda i: F.struct(F.element_at("others", i).alias("k"), F.element_at("others", i + 1).alias("x"), F.lit(False).alias("stand")))
+    seen = seen.select("cover", F.explode(F.when(F.col("others").isNull(), placed).otherwise(F.concat(placed, rest))).alias("_p")).select("_p.*", "cover")
     lists = seen.groupBy("k").agg(F.collect_list(F.when(F.col("cover"), F.col("x"))).alias("cover"), F.collect_list(F.when(F.col("stand"), F.col("x"))).alias("stand"))
     lists = materialise(lists, "lists").filter(F.size("cover") + F.size("stand") > 0)  # all; a filter lets Spark put a Bloom filter on the texts
     touched = materialise(base.join(lists, "k"), "touched")
     full = through(touched.filter(F.size("stand") > 0).select("k", "t", "stand"), length)
-    again = full.withColumn("n", F.count("*").over(Window.partitionBy("a", "b"))).filter("n > 1").groupBy("k").agg(F.collect_set("p").alias("again"))
+    twice = full.withColumn("n", F.count("*").over(Window.partitionBy("a", "b"))).filter((F.col("n") > 1) | F.col("others").isNotNull())
+    again = all_places(twice).groupBy("k").agg(F.collect_set("x").alias("again"))
     done = cut(touched.select("k", "t", "cover").join(again, "k", "left"), length, keep)
     whole = base.select("k", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce(F.encode("t", "UTF-8"), F.lit(b"")), 256).alias("kept_sha256"), *([F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.coalesce(F.encode("t", "UTF-8"), F.lit(b"")).alias("kept")] if keep else []))
     names = ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept"] if keep else [])]
     out = done.select(names).unionByName(whole.join(touched.select("k").distinct(), "k", "left_anti").select(names))
-    return out.select(F.when(F.col("k") != null, F.col("k")).alias("doc_id"), *names[1:])
+    return out.select(F.when(F.col("k") > -(2**62), F.col("k")).alias("doc_id"), *names[1:])
