@@ -77,7 +77,7 @@ def tokens(text: Column) -> Column:
     """Digit-bearing tokens with the words before and after: array of (s, e, v, left, right)."""
     gaps = F.split(text, TOKEN, -1)
     found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    both = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), F.slice(gaps, 2, 2**31 - 1).alias("next"))
+    both = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
     kind = "array<struct<s:int,e:int,v:string,left:string,right:string>>"
     start = F.expr(f"named_struct('p', 0, 'o', cast(array() as {kind}))")
 
@@ -109,7 +109,8 @@ def occurrences(found: DataFrame) -> DataFrame:
     seed = F.exists("spans", lambda b: (b["s"] < F.col("e")) & (F.col("s") < b["e"]))
     slot = F.when(F.contains("v", F.lit("@")), "@").when(~F.col("v").rlike("[A-Za-z]"), "9").otherwise("x")
     pattern = lambda side, *words: F.xxhash64(F.lit(side), slot, *words)
-    patterns = F.array(pattern("L", "left"), pattern("R", "right"), pattern("B", "left", "right"))
+    left, right = F.col("left") != "", F.col("right") != ""
+    patterns = F.array_compact(F.array(F.when(left, pattern("L", "left")), F.when(right, pattern("R", "right")), F.when(left & right, pattern("B", "left", "right"))))
     return rows.select("k", "h", "s", "e", F.xxhash64("v").alias("v"), seed.cast("int").alias("seed"), patterns.alias("patterns"))
 
 
@@ -148,7 +149,10 @@ def extract(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def joined_spans(kinds: tuple[str, ...]) -> Column:
     """kind:start:end by kind as listed, then start, comma-joined."""
-    return F.array_join(F.concat(*[F.transform(k, lambda x, k=k: F.concat_ws(":", F.lit(k), x["s"].cast("string"), x["e"].cast("string"))) for k in kinds]), ",")
+    def shown(kind: str) -> Column:
+        return F.transform(kind, lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
+
+    return F.array_join(F.concat(*[shown(kind) for kind in kinds]), ",")
 
 
 def digest(spans: DataFrame) -> DataFrame:
