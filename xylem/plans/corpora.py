@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.serialize import escape_attribute, escape_text
-from ..session import materialise, table
+from ..session import table
+from ..sources.store import save_nodes
 from ..sources.xml import nodes_of, parse_xml
 
 _parsed: dict[tuple, DataFrame] = {}
@@ -87,5 +88,5 @@ def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The nodes of a corpus, parsed once in a session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _parsed:
-        _parsed[key] = materialise(nodes_of(parse_xml(MAKERS[name](spark, sf_dir))), f"nodes-{name}")
+        _parsed[key] = save_nodes(nodes_of(parse_xml(MAKERS[name](spark, sf_dir))), spark.sparkContext.defaultParallelism)
     return _parsed[key]

@@ -24,7 +24,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     # Spark's own Bloom filters on shuffled joins, of a fixed size, whatever the sizes of the tables: texts that can't match aren't shuffled.
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "64m")
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
     return spark
 
