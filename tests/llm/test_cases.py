@@ -86,12 +86,12 @@ def test_media(odd, spark):
 
 def test_html(spark):
     page = "<html><body><nav>menu</nav><article><h1>T</h1><p>a &amp; b</p></article></body></html>"
-    rows = [(1, "http://h/1", page), (1, "http://h/1", page), (2, None, None), (None, "x", ""), (3, "http://h/2", "<p>" * 5000 + "deep"), (4, "http://h/3", "no tags & " * 5000), (5, "http://h/4", "<a<a<a '\"<")]
+    rows = [(1, "http://h/1", page), (1, "http://h/1", page), (2, None, None), (None, "x", ""), (3, "http://h/2", "<p>" * 5000 + "deep"), (4, "http://h/3", "no tags & " * 5000), (6, "http://h/5", "<center>" * 20_000 + "low" + "</nav>" * 20_000), (5, "http://h/4", "<a<a<a '\"<")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, host string")
     got = html.main_text(df).collect()
     assert len(got) == len(rows) and html.main_text(df.limit(0)).collect() == []
     by = {r["page_id"]: r["text"] for r in got}
-    assert by[1] == "T a & b" and by[2] == "" and by[None] == "" and by[3] == "deep" and by[4].startswith("no tags &")
+    assert by[1] == "T a & b" and by[2] == "" and by[None] == "" and by[3] == "deep" and by[4].startswith("no tags &") and by[6] == "low"
 
 
 def test_ann(spark):

@@ -11,7 +11,7 @@ from __future__ import annotations
 import html as _html
 import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -57,6 +57,13 @@ class Page:
         self.known: dict[tuple[int, str], int] = {}
         self.root: list = ["", []]
         stack = [("", 0, False, self.root)]
+        opened: Counter = Counter()  # by tag: a search of the stack is for something that is there
+
+        def close(i: int) -> None:
+            for entry in stack[i:]:
+                opened[entry[0]] -= 1
+            del stack[i:]
+
         text: list[str] = []
         at = 0
 
@@ -82,16 +89,14 @@ class Page:
             elif m["end"]:
                 if tag in BLOCK:
                     flush()
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == tag:
-                            del stack[i:]
-                            break
+                    if opened[tag] > 0:
+                        close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             elif tag in BLOCK:
                 flush()
                 shut = CLOSES.get(tag, {"p"} if tag not in ("html", "body", "head") else set())
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if any(opened[t] > 0 for t in shut) else ():
                     if stack[i][0] in shut:
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] in SCOPES:
                         break
@@ -111,6 +116,7 @@ class Page:
                     if path == len(self.paths):
                         self.paths.append((stack[-1][1], sign))
                 stack.append((tag, path, bad, child))
+                opened[tag] += 1
         if at < len(source):
             text.append(_html.unescape(source[at:]))
         flush()
