@@ -105,3 +105,13 @@ def test_decoding(spark, tmp_path):
     (tmp_path / "b.xml").write_bytes(b"<a>" + b"1" * 2000 + b"</a>")
     got = {r["path"][-5:]: r for r in read_xml_files(spark, f"file://{tmp_path}/*.xml", max_bytes=1024).collect()}
     assert got["a.xml"]["xml"] == "<a>1</a>" and got["b.xml"]["xml"] is None and "exceeds" in got["b.xml"]["problem"]
+
+
+def test_expand_entities(spark):
+    from pyspark.sql import functions as F
+
+    from xylem.functions.entities import expand_entities
+
+    rows = [("a &lt; &x; &#65;",), ("plain",), (None,), ("&nope;",)]
+    got = spark.createDataFrame(rows, "t string").select(expand_entities(F.col("t"), {"x": "y &amp; z"}).alias("o")).collect()
+    assert [r["o"] for r in got] == ["a < y & z A", "plain", None, None]

@@ -44,6 +44,11 @@ def validate(nodes: DataFrame, validators: list[Callable[[DataFrame], DataFrame]
     return _union(nodes.sparkSession, [v(nodes).select(VIOLATION) for v in validators])
 
 
+def _too_deep(elements: DataFrame) -> DataFrame:
+    """Elements below the depth that validation goes to, the root element at 0."""
+    return _violation(elements.filter(F.col("depth") > MAX_DEPTH + 1), 0, "DEPTH", F.lit(f"Maximum validation depth of {MAX_DEPTH} exceeded"))
+
+
 def _child_names(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, names): the names of each element's child elements, in order."""
     kids = nodes.filter("kind = 'element' and parent_id is not null")
@@ -108,7 +113,7 @@ def dtd_violations(nodes: DataFrame, dtd: Dtd, strict: bool = False) -> DataFram
     """
     spark = nodes.sparkSession
     elements = nodes.filter((F.col("kind") == "element") & F.col("pre").isNotNull())
-    out = []
+    out = [_too_deep(elements)]
     empty = [n for n, (k, _) in dtd.elements.items() if k == "EMPTY"]
     if empty:
         full = nodes.filter("kind in ('element', 'text')").select("doc_id", F.col("parent_id").alias("node_id"))
@@ -135,8 +140,6 @@ def dtd_violations(nodes: DataFrame, dtd: Dtd, strict: bool = False) -> DataFram
         out.append(_violation(again, 0, "ID", F.concat(F.lit("Duplicate ID value '"), "v", F.lit("' in element <"), "name", F.lit(">"))))
         refs = typed.filter("type <> 'ID'").withColumn("v", F.explode(F.when(F.col("type") == "IDREFS", F.filter(F.split("v", r"(?U)\s+"), lambda x: x != "")).otherwise(F.array("v"))))
         out.append(_violation(refs.join(ids.select("doc_id", "v"), ["doc_id", "v"], "left_anti"), 2, "IDREF", F.concat(F.lit("IDREF '"), "v", F.lit("' in attribute '"), "attr", F.lit("' of <"), "name", F.lit("> does not match any declared ID"))))
-    if not out:
-        return elements.filter(F.lit(False)).select("doc_id", "node_id", F.lit(0).alias("phase"), "pre", F.lit("").alias("rule"), F.lit("").alias("message"))
     return _union(spark, out)
 
 
@@ -283,7 +286,7 @@ def xsd_violations(nodes: DataFrame, xsd: Xsd, strict: bool = False) -> DataFram
     """
     spark = nodes.sparkSession
     elements = nodes.filter((F.col("kind") == "element") & F.col("pre").isNotNull())
-    out = []
+    out = [_too_deep(elements)]
     attrs, kids, comps, simple = [], [], [], []
     for name, rule in xsd.elements.items():
         c = xsd.complex_of(rule)
@@ -337,8 +340,6 @@ def xsd_violations(nodes: DataFrame, xsd: Xsd, strict: bool = False) -> DataFram
             *(((F.col("pattern").isNotNull() & ~F.regexp_like("t", F.concat(F.lit("^(?:"), "pattern", F.lit(")$"))), "pattern", text("Element <", "name", "> value '", "t", "' does not match its pattern")),) if strict else ()),
         ):
             out.append(_violation(held.filter(test), 3, rule, message))
-    if not out:
-        return elements.filter(F.lit(False)).select("doc_id", "node_id", F.lit(0).alias("phase"), "pre", F.lit("").alias("rule"), F.lit("").alias("message"))
     return _union(spark, out)
 
 
