@@ -12,6 +12,8 @@ from dataclasses import dataclass
 WS = " \t\r\n"
 NAME = re.compile(r"[\w:.\-]*")
 ATTRIBUTE = re.compile(r"([\w:.\-]*)[ \t\r\n]*=[ \t\r\n]*(?:\"([^\"]*)\"|'([^']*)')")
+# A whole opening tag without references; whatever else it is goes the long way, which also finds what is wrong.
+PLAIN_TAG = re.compile(r"<([\w:.\-]+)((?:[ \t\r\n]+[\w:.\-]+[ \t\r\n]*=[ \t\r\n]*(?:\"[^\"&]*\"|'[^'&]*'))*)[ \t\r\n]*(/?)>")
 SPACE = re.compile(r"[ \t\r\n]*")
 FORBIDDEN = re.compile("[^\t\n\r\\x20-\\uD7FF\\uE000-\\uFFFD\\U00010000-\\U0010FFFF]")
 # Predefined entities.
@@ -92,7 +94,7 @@ class Entities:
         return chr(point)
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     parent: int | None
     kind: str
@@ -330,6 +332,15 @@ class Parser:
         self.elements += 1
         if self.elements > o.max_element_count:
             raise self.limit(f"Maximum element count of {o.max_element_count} exceeded")
+        m = PLAIN_TAG.match(s, self.at - 1)
+        if m:
+            attrs = [(name, one or two) for name, one, two in ATTRIBUTE.findall(m[2])] if m[2] else []
+            n = len(attrs)
+            if len({name for name, _ in attrs}) == n <= o.max_attribute_count and self.attributes + n <= o.max_total_attribute_count:
+                self.attributes += n
+                self.at = m.end()
+                self.add(stack[-1], Node(None, "element", m[1], attrs=attrs))
+                return not m[3]
         m = NAME.match(s, self.at)
         if not m[0]:
             raise self.fail("Expected element name")
