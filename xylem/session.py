@@ -61,6 +61,12 @@ def drop_materialised(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear_materialised(spark: SparkSession) -> None:
+    """Delete all tables that this package has written under the shared folder; for the end of a session, when nothing reads them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """A materialised table with a broadcast hint if it has at most ``rows`` rows; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df
