@@ -347,6 +347,15 @@ def test_wrappers(spark):
     assert w["part"] == "html/body/article" and "(<li>#</>)" in w["wrapper"] and "(<div.ad>#</>)?" in w["wrapper"] and "(<p>#</>)+" in w["wrapper"]
 
 
+def test_text_comes_from_the_slots(spark):
+    page = "<body><article><p>Our house style, always here.</p><p>{0}</p><div class=x>Thanks for reading</div></article><div class=y>{1}</div></body>"
+    rows = [(i, "http://h/", page.format(f"story {i} " * 20, "The same long line on each page. " * 40)) for i in range(4)]
+    rows += [(10 + i, f"http://copies{i % 2}/", page.format("one story " * 20, i)) for i in range(8)]
+    got = {r["page_id"]: (r["text"], r["wrapper"]) for r in html.main_text(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i][0] == " ".join([f"story {i}"] * 20) for i in range(4)) and "<div.x>=</>" in got[0][1] and "(<p>#</>)+" in got[0][1]
+    assert all(got[10 + i][0].startswith("Our house style, always here. one story") for i in range(8))  # copies of one page show no template
+
+
 def test_pages_of_the_tables(spark):
     import html as unescape
 

@@ -2,8 +2,9 @@
 
 Pages are read as streams of tags and text. The block structure of each page is folded (equal neighbours become a repeated group) and
 aligned with that of other pages of its host: elements that match are merged, elements that are missing on one side become optional, and
-texts become slots. The result is one regular expression without unions for each host. How much text its parts hold, over all pages of the host,
-tells which part is the article; that part is then read from each page, without the elements that are boilerplate by tag or by name.
+strings are compared: those that all pages have at a place are template, the rest makes it a slot. The result is one regular expression without
+unions for each host. How much text varies in its parts, over all pages of the host, tells which part is the article. Each page is then matched
+against the wrapper, and its text is what fills the slots of that part, without the elements that are boilerplate by tag or by name.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,10 +48,14 @@ DEPTH = 40
 BROADCAST_BYTES = 8_000_000
 #: Groups that the pages of one host are dealt into before the groups' wrappers are merged.
 GROUPS = 32
+#: Different pages that have a string in the same place before it is template: fewer are too little to compare.
+PAGES = 3
+#: The share of a host's text, and of that in its article, that may be template; beyond, the pages are copies of one another and comparing them tells nothing.
+TEMPLATE, ARTICLE_TEMPLATE = 0.9, 0.5
 
 
 class Page:
-    """The blocks of a page: (path, boilerplate, text), and the folded structure."""
+    """The blocks of a page: (path, boilerplate, text), and the structure: [sign, children], with the number of the block for a text."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[int, bool, str]] = []
@@ -72,9 +78,8 @@ class Page:
             text.clear()
             if whole:
                 _, path, bad, node = stack[-1]
+                node[1].append(len(self.blocks))
                 self.blocks.append((path, bad, whole))
-                if not node[1] or node[1][-1] != "#":
-                    node[1].append("#")
 
         for m in TOKEN.finditer(source):
             if m.start() > at:
@@ -107,10 +112,10 @@ class Page:
                 _, path, bad, node = stack[-1]
                 inside = tag == "header" and any(s[0] in ("article", "main") for s in stack)
                 bad = bad or tag in BAD_TAGS or (tag == "header" and not inside) or bool(name and tag not in ("html", "body", "article", "main") and BAD_NAMES.search(name)) or "hidden" in names or names.get("aria-hidden") == "true"
-                child = ["", []]
+                child = node
                 if len(stack) < DEPTH:
                     sign = tag + ("." + re.sub(r"\d+", "0", name)[:60] if name else "")
-                    child[0] = sign
+                    child = [sign, []]
                     node[1].append(child)
                     path = self.known.setdefault((path, sign), len(self.paths))
                     if path == len(self.paths):
@@ -129,48 +134,130 @@ class Page:
         return "/".join(reversed(parts))
 
 
-def fold(node: list) -> list:
-    """A wrapper node [sign, children, optional, repeated] of a structure: equal neighbours become one repeated element."""
-    children: list = []
-    for c in node[1]:
-        c = "#" if c == "#" else fold(c)
-        if children and c != "#" and children[-1] != "#" and c[0] == children[-1][0]:
-            children[-1] = merge(children[-1], c)
-            children[-1][3] = True
-        elif c != "#" or not children or children[-1] != "#":
-            children.append(c)
-    return [node[0], children, False, False]
-
-
-def merge(a: list, b: list) -> list:
-    """The wrapper of what two nodes of equal sign match: their children aligned, mismatches optional."""
-    if a[1] == b[1]:
-        return [a[0], a[1], a[2] or b[2], a[3] or b[3]]
-    left, right = [c if c == "#" else c[0] for c in a[1]], [c if c == "#" else c[0] for c in b[1]]
+def mark(text: str) -> str:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def fold(page: Page) -> list:
+    """The wrapper of one page: equal neighbours become one repeated element.
+
+    An element is [sign, children, optional, repeated]; a text is ["#", strings, pages, varies, n, mass]: the marks and lengths (without
+    boilerplate) of the strings that all pages have there, the marks of some of these pages, whether there are other strings, the number of pages, and the characters that aren't boilerplate.
+    """
+    own = mark("\n".join(text for _, _, text in page.blocks))
+
+    def folded(node: list) -> list:
+        children: list = []
+        for c in node[1]:
+            if isinstance(c, int):
+                _, bad, text = page.blocks[c]
+                n = 0 if bad else len(text)
+                c = ["#", {mark(text): n}, [own], False, 1, n]
+            else:
+                c = folded(c)
+            if children and c[0] == children[-1][0]:
+                children[-1] = both(children[-1], c, True)
+            else:
+                children.append(c)
+        return [node[0], children, False, False]
+
+    return folded(page.root)
+
+
+def both(a: list, b: list, within: bool = False) -> list:
+    """What two nodes of equal sign become: of one page (``within``), or of different pages."""
+    if a[0] != "#":
+        out = merge(a, b, within)
+        return [*out[:3], True] if within else out
+    if within:
+        return ["#", {k: a[1].get(k, 0) + b[1].get(k, 0) for k in {**a[1], **b[1]}}, sorted({*a[2], *b[2]})[:PAGES], a[3] or b[3], max(a[4], b[4]), a[5] + b[5]]
+    return ["#", {k: min(n, b[1][k]) for k, n in a[1].items() if k in b[1]}, sorted({*a[2], *b[2]})[:PAGES], a[3] or b[3] or a[1].keys() != b[1].keys(), a[4] + b[4], a[5] + b[5]]
+
+
+def merge(a: list, b: list, within: bool = False) -> list:
+    """The wrapper of what two elements of equal sign match: their children aligned, mismatches optional."""
+    left, right = [c[0] for c in a[1]], [c[0] for c in b[1]]
+    if left == right:
+        return [a[0], [both(x, y, within) if x[0] == "#" else merge(x, y, within) for x, y in zip(a[1], b[1], strict=True)], a[2] or b[2], a[3] or b[3]]
     out: list = []
     for op, i, j, k, l in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if op == "equal":
-            out += [x if x == "#" else merge(x, y) for x, y in zip(a[1][i:j], b[1][k:l], strict=True)]
+            out += [both(x, y, within) if x[0] == "#" else merge(x, y, within) for x, y in zip(a[1][i:j], b[1][k:l], strict=True)]
         else:
-            out += [c if c == "#" else [c[0], c[1], True, c[3]] for c in (*a[1][i:j], *b[1][k:l])]
+            out += [c if c[0] == "#" else [c[0], c[1], True, c[3]] for c in (*a[1][i:j], *b[1][k:l])]
     tidy: list = []
     for c in out:  # neighbours of equal sign are one repeated group
-        if tidy and c != "#" and tidy[-1] != "#" and tidy[-1][0] == c[0]:
-            tidy[-1] = [*merge(tidy[-1], c)[:3], True]
-        elif c != "#" or not tidy or tidy[-1] != "#":
+        if tidy and tidy[-1][0] == c[0]:
+            tidy[-1] = both(tidy[-1], c, within) if c[0] == "#" else [*merge(tidy[-1], c, within)[:3], True]
+        else:
             tidy.append(c)
     return [a[0], tidy, a[2] or b[2], a[3] or b[3]]
 
 
-def expression(node) -> str:
-    """The wrapper as a regular expression over tags and text slots (#)."""
-    if node == "#":
-        return "#"
+def expression(node: list) -> str:
+    """The wrapper as a regular expression over tags, text slots (#) and texts that are the same on all pages (=)."""
+    if node[0] == "#":
+        return "=" if node[1] and not node[3] else "#"
     body = "".join(expression(c) for c in node[1])
     whole = f"<{node[0]}>{body}</>" if node[0] else body
     return f"({whole}){'*' if node[2] and node[3] else '?' if node[2] else '+'}" if node[2] or node[3] else whole
 
 
+def slots(node: list, path: str = "") -> Iterator[tuple[str, list]]:
+    """(path, text node) for each text of a wrapper."""
+    for c in node[1]:
+        if c[0] == "#":
+            yield path, c
+        else:
+            yield from slots(c, f"{path}/{c[0]}" if path else c[0])
+
+
+def inside(path: str, part: str) -> bool:
+    return not part or path == part or path.startswith(part + "/")
+
+
+def settle(root: list) -> str:
+    """The path of the article in the wrapper of a host, whose strings become those that are template."""
+    full: dict[str, float] = defaultdict(float)
+    fixed: dict[str, float] = defaultdict(float)
+    for path, slot in slots(root):
+        if len(slot[2]) < PAGES:
+            slot[1] = {}
+        full[path] += slot[5]
+        fixed[path] += min(slot[5], slot[4] * sum(slot[1].values()))
+    varied = {p: n - fixed[p] for p, n in full.items() if n > fixed[p]}
+    copies = sum(fixed.values()) > TEMPLATE * sum(full.values())
+    part = main_part({p: n for p, n in full.items() if n} if copies else varied)
+    under = lambda mass: sum(n for p, n in mass.items() if inside(p, part))
+    if copies or under(fixed) > ARTICLE_TEMPLATE * under(full):
+        for path, slot in slots(root):
+            if copies or inside(path, part):
+                slot[1] = {}
+    return part
+
+
+def template(page: Page, root: list) -> set[int]:
+    """The blocks of a page that its host's wrapper has as template: from left to right, an element matches the next place of its sign."""
+    out: set[int] = set()
+
+    def match(node: list, wrapper: list) -> None:
+        at, last, places = 0, None, wrapper[1]
+        for c in node[1]:
+            sign = "#" if isinstance(c, int) else c[0]
+            if sign != last:
+                found = next((i for i in range(at, len(places)) if places[i][0] == sign), None)
+                if found is None:
+                    continue
+                at, last = found + 1, sign
+            if sign != "#":
+                match(c, places[at - 1])
+            elif places[at - 1][1] and mark(page.blocks[c][2]) in places[at - 1][1]:
+                out.add(c)
+
+    match(page.root, root)
+    return out
+
+
 def main_part(mass: dict[str, float]) -> str:
     """The path of the article among the paths of a host and the characters directly in each (boilerplate left out)."""
     under: dict[str, float] = defaultdict(float)
@@ -199,10 +286,11 @@ def masses(page: Page) -> dict[str, float]:
     return out
 
 
-def article(page: Page, part: str) -> str:
-    """The text of a page in the part of that path; where the page has none there, in the part that the page alone suggests."""
+def article(page: Page, root: list | None, part: str) -> str:
+    """The text in the slots of that part of the wrapper; where the page has none there, in the part that the page alone suggests."""
     names = {i: page.name(i) for i in {b[0] for b in page.blocks}}
-    take = lambda p: " ".join(t for i, bad, t in page.blocks if not bad and (not p or names[i] == p or names[i].startswith(p + "/")))
+    fixed = template(page, root) if root else set()
+    take = lambda p: " ".join(t for k, (i, bad, t) in enumerate(page.blocks) if not bad and k not in fixed and inside(names[i], p))
     return take(part) or take(main_part(masses(page)))
 
 
@@ -210,43 +298,36 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _merged(items: list[tuple[str, str]]) -> tuple[str, str]:
-    """One (wrapper, masses) of several, as JSON."""
-    whole, mass = None, defaultdict(float)
-    for w in dict.fromkeys(w for w, _ in items):
-        w = json.loads(w)
-        whole = w if whole is None else merge(whole, w)
-    for _, m in items:
-        for path, n in json.loads(m).items():
-            mass[path] += n
-    return json.dumps(whole), json.dumps(mass)
+def _merged(items: list[list]) -> list:
+    """One wrapper of several."""
+    whole = items[0]
+    for w in items[1:]:
+        whole = merge(whole, w)
+    return whole
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, part) for each host of (host, html): the expression inferred from all its pages, and the path of its article."""
+    """(host, wrapper, part, tree) for each host of (host, html): the expression inferred from all its pages, the path of its article, and the wrapper as JSON."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            shapes: dict[str, dict[str, None]] = defaultdict(dict)
-            mass: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
+            mine: dict[str, list] = {}
             for name, source in zip(b["host"], b["html"], strict=True):
-                page = Page(source or "")
-                shapes[name][json.dumps(fold(page.root))] = None
-                for path, n in masses(page).items():
-                    mass[name][path] += n
-            done = {name: _merged([(w, "{}") for w in shape])[0] for name, shape in shapes.items()}
-            yield pd.DataFrame([(name, w, json.dumps(mass[name])) for name, w in done.items()], columns=["host", "wrapper", "mass"])
+                page = fold(Page(source or ""))
+                mine[name] = merge(mine[name], page) if name in mine else page
+            yield pd.DataFrame([(name, json.dumps(w)) for name, w in mine.items()], columns=["host", "tree"])
 
     def join(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(b["host"].iloc[0], *_merged(sorted(zip(b["wrapper"], b["mass"], strict=True))))], columns=["host", "wrapper", "mass"])
+        return pd.DataFrame([(b["host"].iloc[0], json.dumps(_merged([json.loads(w) for w in sorted(b["tree"])])))], columns=["host", "tree"])
 
     def close(b: pd.DataFrame) -> pd.DataFrame:
-        out = join(b).iloc[0]
-        return pd.DataFrame([(out["host"], expression(json.loads(out["wrapper"])), main_part(json.loads(out["mass"])))], columns=["host", "wrapper", "part"])
+        root = _merged([json.loads(w) for w in sorted(b["tree"])])
+        part = settle(root)
+        return pd.DataFrame([(b["host"].iloc[0], expression(root), part, json.dumps(root))], columns=["host", "wrapper", "part", "tree"])
 
-    schema = "host string, wrapper string, mass string"
-    first = pages.mapInPandas(read, schema).withColumn("g", F.pmod(F.xxhash64("wrapper", "mass"), F.lit(GROUPS)))
-    return first.groupBy("host", "g").applyInPandas(lambda b: join(b), schema).groupBy("host").applyInPandas(close, "host string, wrapper string, part string")
+    schema = "host string, tree string"
+    first = pages.mapInPandas(read, schema).withColumn("g", F.pmod(F.xxhash64("tree"), F.lit(GROUPS)))
+    return first.groupBy("host", "g").applyInPandas(lambda b: join(b), schema).groupBy("host").applyInPandas(close, "host string, wrapper string, part string, tree string")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -256,13 +337,14 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
     """
     rows = pages.select(F.col(key).cast("string").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"), host(F.col(url)).alias("host"))
     found = materialise(wrappers(rows.select("host", "html")), "wrappers")
-    size = found.agg(F.sum(F.length("host") + F.length("wrapper") + F.length("part")).alias("n")).first()["n"] or 0
+    size = found.agg(F.sum(F.length("host") + F.length("wrapper") + F.length("part") + F.length("tree")).alias("n")).first()["n"] or 0
     both = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
     schema = "page_id string, url string, text string, n_chars long, wrapper string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [article(Page(s or ""), p or "") for s, p in zip(b["html"], b["part"], strict=True)]
+            trees = {t: json.loads(t) for t in b["tree"].dropna().unique()}
+            texts = [article(Page(s or ""), trees.get(t), p or "") for s, p, t in zip(b["html"], b["part"], b["tree"], strict=True)]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts], "wrapper": b["wrapper"]})
 
     return both.mapInPandas(run, schema).withColumn("page_id", F.col("page_id").cast(pages.schema[key].dataType))
