@@ -166,6 +166,17 @@ def test_model_learns_and_sums_to_one(spark):
     assert math.isclose(np.exp([m.log_probs(h, np.array([i]))[0] for i in range(16)]).sum(), 1, rel_tol=1e-5)
 
 
+def test_training_sees_every_document(spark, monkeypatch):
+    docs = frame(spark, [(i, " ".join(f"w{(i * j) % 50}" for j in range(40))) for i in range(640)]).repartition(2).withColumnRenamed("doc_id", "key")
+    counts = lm.count_words(docs)
+    v, seen = lm.vocabulary(counts), []
+    table = lm.materialise
+    monkeypatch.setattr(lm, "materialise", lambda df, name: seen.append((name, out := table(df, name))) or out)
+    lm.train(docs, v)
+    n = sum(r["n"] for name, df in seen if name == "trained" for r in df.select("n").collect())
+    assert v.tokens == 640 * 41 and n > 0.9 * v.tokens
+
+
 def test_gradients():
     m = lm.Model.start(np.arange(16, 0, -1.0), hidden=4, classes=4)
     rng = np.random.default_rng(2)

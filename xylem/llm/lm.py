@@ -2,8 +2,8 @@
 
 Words are counted over all training documents. The most frequent ones are the model's vocabulary, sorted into classes by frequency; the
 output is a softmax over classes times a softmax within the class, and a word outside the vocabulary is the unknown word times its share of
-the rest. The model is warmed up on a bounded sample, then every partition trains a copy on its part of a fixed share of the training documents
-by truncated backpropagation, and the copies are averaged. For scoring, documents are laid into lanes and the state is carried from window
+the rest. The model is warmed up on a bounded sample, then every partition trains a copy on all its training documents by truncated
+backpropagation, and the copies are averaged. For scoring, documents are laid into lanes and the state is carried from window
 to window, so each gets the likelihood of all its words.
 """
 
@@ -28,8 +28,8 @@ from .language import crc_rest
 HIDDEN, CLASSES, CLASS_SIZE = 32, 64, 64
 #: Words whose counts all executors hold; the counts of others are joined.
 HEAD = 150_000
-#: Words of the warm-up sample (a bounded one), and one in so many training documents that the distributed training takes.
-WARM_TOKENS, SHARE = 400_000, 16
+#: Words of the warm-up sample (a bounded one); the distributed training takes all training documents.
+WARM_TOKENS = 400_000
 LANES, WINDOW, RATE = 32, 32, 0.2
 SCORE_LANES, SCORE_WINDOW = 256, 128
 #: Distinct words that a counting task holds before it passes them on.
@@ -299,7 +299,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD, size: int = CLASSES * CLASS_
     return Vocabulary.of(pairs, int(total["n"] or 0), int(total["v"]), size)
 
 
-def train(docs: DataFrame, v: Vocabulary, warm_tokens: int = WARM_TOKENS, share: int = SHARE) -> Model:
+def train(docs: DataFrame, v: Vocabulary, warm_tokens: int = WARM_TOKENS) -> Model:
     """A model of the training rows (key, text): warmed up on a bounded sample, trained by partition, averaged.
 
     The copies are averaged in two levels, so that neither a task nor the driver holds more than about the root of their number.
@@ -352,7 +352,7 @@ def train(docs: DataFrame, v: Vocabulary, warm_tokens: int = WARM_TOKENS, share:
             total = w if total is None else {k: total[k] + w[k] for k in w}
         return pd.DataFrame({"n": [n], "blob": [pickle.dumps(total)]})
 
-    mine = docs.filter(F.pmod(F.xxhash64("key", F.lit("share")), F.lit(share)) == 0).select("text").mapInPandas(part, schema)
+    mine = docs.select("text").mapInPandas(part, schema)
     mine = materialise(mine, "trained")
     many = max(1, math.isqrt(mine.count()))
     level = mine.withColumn("g", F.pmod(F.xxhash64("n", F.length("blob"), F.spark_partition_id()), F.lit(many))).groupBy("g").applyInPandas(mean, schema).toPandas()
