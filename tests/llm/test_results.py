@@ -177,6 +177,17 @@ def test_training_sees_every_document(spark, monkeypatch):
     assert v.tokens == 640 * 41 and n > 0.9 * v.tokens
 
 
+@pytest.mark.parametrize("sizes", [[5], [40] * 7, [3, 9_000, 50, 1], [60] * 100])
+def test_training_empties_its_lanes(sizes):
+    m = lm.Model.start(np.arange(16, 0, -1.0), hidden=4, classes=4)
+    texts = [np.append(np.full(n, i % 7), 7) for i, n in enumerate(sizes)]
+    t, taught = lm.Trainer(m, 7), Counter()
+    window = t.window
+    t.window = lambda x, y, h, *full: (taught.update(y.ravel().tolist()), window(x, y, h, *full))[1]
+    t.learn(iter(texts))
+    assert t.seen == sum(map(len, texts)) and taught == Counter(np.concatenate(texts).tolist())
+
+
 def test_gradients():
     m = lm.Model.start(np.arange(16, 0, -1.0), hidden=4, classes=4)
     rng = np.random.default_rng(2)

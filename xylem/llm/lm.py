@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import math
 import pickle
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from itertools import repeat
@@ -147,19 +147,20 @@ class Trainer:
         s[rows] += grad * grad
         w[rows] -= self.rate * grad / np.sqrt(s[rows])
 
-    def window(self, ids: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Learn from one window (steps, lanes); the state goes on, gradients stop at its start."""
+    def window(self, ids: np.ndarray, y: np.ndarray, h: np.ndarray, full: int = 0) -> np.ndarray:
+        """Learn from one window (steps, lanes); the state goes on, gradients stop at its start. One of fewer than ``full`` words counts for as much less."""
         m, size = self.m, self.m.hidden
         hs, last, saved, live = m.run(ids, h, self.end, keep=True)
         flat, yf = hs.reshape(-1, size), y.ravel()
         n = len(yf)
+        of = max(n, full)
         per = len(m.bo) // len(m.bc)
         c = yf // per
         s = flat @ m.wc + m.bc
         p = np.exp(s - s.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(n), c] -= 1
-        p /= n / 16
+        p /= of / 16
         dh = p @ m.wc.T
         gwc, gbc = flat.T @ p, p.sum(axis=0)
         order = np.argsort(c, kind="stable")
@@ -172,7 +173,7 @@ class Trainer:
                 q = np.exp(s - s.max(axis=1, keepdims=True))
                 q /= q.sum(axis=1, keepdims=True)
                 q[np.arange(len(at)), yf[at] - k * per] -= 1
-                q /= n / 16
+                q /= of / 16
                 dh[at] += q @ m.wo[part]
                 self._step("wo", q.T @ flat[at], part)
                 self._step("bo", q.sum(axis=0), part)
@@ -199,21 +200,37 @@ class Trainer:
         return last
 
     def learn(self, stream: Iterator[np.ndarray], lanes: int = LANES, window: int = WINDOW) -> None:
-        """Learn from texts (ids with the end), laid one after another into lanes; the last words, too few for a window, are left."""
-        rows: list[list[np.ndarray]] = [[] for _ in range(lanes)]
+        """Learn from texts (ids with the end), laid one after another into lanes; at the end of the stream the lanes that still hold words go on."""
+        rows: list[deque[np.ndarray]] = [deque() for _ in range(lanes)]
         have = np.zeros(lanes, np.int64)
         h, prev = np.zeros((lanes, self.m.hidden), np.float32), np.full(lanes, self.end)
+
+        def take(k: int, n: int) -> np.ndarray:
+            parts = []
+            have[k] -= n
+            while n:
+                head = rows[k].popleft()
+                if len(head) > n:
+                    rows[k].appendleft(head[n:])
+                parts.append(head[:n])
+                n -= len(parts[-1])
+            return np.concatenate(parts)
+
+        def go(own: np.ndarray, steps: int) -> None:
+            y = np.stack([take(k, steps) for k in own], axis=1)
+            x = np.concatenate([prev[None, own], y[:-1]])
+            prev[own] = y[-1]
+            h[own] = self.window(x, y, h[own], lanes * window)
+
+        every = np.arange(lanes)
         for ids in stream:
             k = int(have.argmin())
             rows[k].append(ids)
             have[k] += len(ids)
             while have.min() >= window:
-                flat = [np.concatenate(r) for r in rows]
-                y = np.stack([f[:window] for f in flat], axis=1)
-                rows, have = [[f[window:]] for f in flat], have - window
-                x = np.concatenate([prev[None], y[:-1]])
-                prev = y[-1]
-                h = self.window(x, y, h)
+                go(every, window)
+        while len(own := np.flatnonzero(have)):
+            go(own, min(window, int(have[own].min())))
 
 
 def lane_scores(model: Model, texts: list[np.ndarray], end: int, lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
