@@ -369,6 +369,22 @@ def test_wrappers(spark):
     assert w["part"] == "html/body/article" and "(<li>#</>)" in w["wrapper"] and "(<div.ad>#</>)?" in w["wrapper"] and "(<p>#</>)+" in w["wrapper"]
 
 
+STORY = "a long story of many words " * 4
+WHOLE = [
+    *[f"<body><div class='{name}'><article><p>{STORY}</p></article></div></body>" for name in ("layout has-sidebar", "no-sidebar", "with-menu", "page-header", "search-results", "related-content", "sidebar")],
+    *[f"<body><div class='{name}'><div class=text><p>{STORY}</p></div></div><div class=sidebar>no</div></body>" for name in ("has-sidebar", "header", "search")],
+    f"<form><div><p>{STORY}</p></div></form>", f"<nav>no</nav><form><article><p>{STORY}</p><div class='cookie-notice'>no</div></article></form>",
+    *[f"<article><{tag}><p>{STORY}</p></article>" for tag in ("svg/", "svg", "object data=x", "iframe/", "title-bar", "canvas", "script-x")],
+    f"<article><svg><text>no</text></svg><p>{STORY}</p><script>no</article>",
+]
+
+
+@pytest.mark.parametrize("page", WHOLE)
+def test_articles_are_no_boilerplate(page):
+    read = html.Page(page)
+    assert html.article(read, None, html.main_part(html.masses(read))) == STORY.strip()
+
+
 def test_text_comes_from_the_slots(spark):
     page = "<body><article><p>Our house style, always here.</p><p>{0}</p><div class=x>Thanks for reading</div></article><div class=y>{1}</div></body>"
     rows = [(i, "http://h/", page.format(f"story {i} " * 20, "The same long line on each page. " * 40)) for i in range(4)]

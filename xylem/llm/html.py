@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "canvas")
+#: Elements whose content is no text of the page; without an end tag, only scripts and styles go on to the end of the page.
+RAW = frozenset("script style noscript template svg iframe textarea title object canvas".split())
+END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/><]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\"><])*+)>", re.S | re.I)
 ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
@@ -36,11 +38,17 @@ BLOCK = frozenset(
     "nav header footer aside form fieldset address details summary dialog menu hgroup center hr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table body html div section article".split())
-BAD_TAGS = frozenset("head nav footer aside form menu dialog button select option label input fieldset".split())
-BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|sidebars?|side|menus?|nav|navbar|navigation|breadcrumbs?|cookies?|consent|notices?|banners?|popups?|modal|alerts?|"
+BAD_TAGS = frozenset("head nav footer aside menu dialog button select option label input".split())
+#: Boilerplate by a weaker test: not what an article lies in, nor what most of the page's text lies in.
+WEAK_TAGS = frozenset("header form fieldset".split())
+#: A class, id or role is a name of boilerplate if all its parts are of these two kinds, and one of the first at least.
+BAD_PARTS = re.compile(
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|sidebars?|side|menus?|nav|navbar|navigation|breadcrumbs?|cookies?|consent|notices?|banners?|popups?|modal|alerts?|"
     r"comments?|disqus|respond|replies|reply|footers?|headers?|masthead|share|sharing|social|newsletter|subscribe|signup|login|related|recommended|pagination|pager|skip|copyright|"
-    r"complementary|contentinfo|search|widgets?|toolbar)(?=$|[\s_-])", re.I)
+    r"complementary|contentinfo|search|widgets?|toolbar", re.I)
+PLAIN_PARTS = re.compile(r"|\d+|site|top|bottom|left|right|main|global|primary|secondary|user|post|posts|entry|area|list|section|box|block|bar|form|container|wrapper|wrap|inner|outer|links?|buttons?|icons?|items?|stories|slot|unit|to", re.I)
+#: Of these, a block is boilerplate even if most of the page's text is there.
+ALWAYS = re.compile(r"ads?|advert\w*|adsense|sponsor\w*|cookies?|consent|comments?|disqus|respond|replies|reply", re.I)
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|main|content|post|entry|story|body|text)(?=$|[\s_-])", re.I)
 #: Levels of nesting that the structure tells apart; deeper elements count with their ancestor there. No text is lost by it.
 DEPTH = 40
@@ -54,6 +62,16 @@ PAGES = 3
 TEMPLATE, ARTICLE_TEMPLATE = 0.9, 0.5
 
 
+def bad_names(name: str) -> tuple[bool, bool]:
+    """Whether one of the names is one of boilerplate, and whether it is so for any amount of text."""
+    bad = always = False
+    for word in name.split():
+        parts = re.split("[_-]", word)
+        if any(map(BAD_PARTS.fullmatch, parts)) and all(BAD_PARTS.fullmatch(p) or PLAIN_PARTS.fullmatch(p) for p in parts):
+            bad, always = True, always or any(map(ALWAYS.fullmatch, parts))
+    return bad, always
+
+
 class Page:
     """The blocks of a page: (path, boilerplate, text), and the structure: [sign, children], with the number of the block for a text."""
 
@@ -62,7 +80,10 @@ class Page:
         self.paths: list[tuple[int, str]] = [(-1, "")]
         self.known: dict[tuple[int, str], int] = {}
         self.root: list = ["", []]
-        stack = [("", 0, False, self.root)]
+        stack: list[tuple] = [("", 0, (False, ()), self.root)]  # bad: whether for sure, and the weak ones that it lies in
+        inner: list[tuple] = []
+        weak = 0
+        gone: set[str] = set()  # raw elements without a further end tag
         opened: Counter = Counter()  # by tag: a search of the stack is for something that is there
 
         def close(i: int) -> None:
@@ -79,9 +100,10 @@ class Page:
             if whole:
                 _, path, bad, node = stack[-1]
                 node[1].append(len(self.blocks))
-                self.blocks.append((path, bad, whole))
+                self.blocks.append((path, bad[0], whole))
+                inner.append(bad[1])
 
-        for m in TOKEN.finditer(source):
+        while m := TOKEN.search(source, at):
             if m.start() > at:
                 text.append(_html.unescape(source[at : m.start()]))
             at = m.end()
@@ -89,7 +111,15 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
-            if tag == "br":
+            if tag in RAW:
+                if not m["end"] and tag not in gone and (tag in ("script", "style") or source[at - 2] != "/"):
+                    if found := END[tag].search(source, at):
+                        at = found.end()
+                    elif tag in ("script", "style"):
+                        at = len(source)
+                    else:
+                        gone.add(tag)
+            elif tag == "br":
                 text.append(" ")
             elif m["end"]:
                 if tag in BLOCK:
@@ -110,8 +140,17 @@ class Page:
                 names = {k.lower(): (v or "").strip("\"'") for k, v in ATTR.findall(m["attrs"])} if "=" in m["attrs"] or "hidden" in m["attrs"] else {}
                 name = " ".join(v for k, v in names.items() if k in ("class", "id", "role", "itemprop"))
                 _, path, bad, node = stack[-1]
-                inside = tag == "header" and any(s[0] in ("article", "main") for s in stack)
-                bad = bad or tag in BAD_TAGS or (tag == "header" and not inside) or bool(name and tag not in ("html", "body", "article", "main") and BAD_NAMES.search(name)) or "hidden" in names or names.get("aria-hidden") == "true"
+                kept = tag in ("article", "main") or "articlebody" in name.lower().split() or "main" in names.get("role", "").lower().split()
+                headed = tag == "header" and any(s[0] in ("article", "main") for s in stack)
+                named, always = bad_names(name) if name and not kept and tag not in ("html", "body") else (False, False)
+                sure = bad[0] or tag in BAD_TAGS or always or "hidden" in names or names.get("aria-hidden") == "true"
+                if kept:
+                    bad = sure, ()
+                elif (named or (tag in WEAK_TAGS and not headed)) and len(bad[1]) < DEPTH:
+                    weak += 1
+                    bad = sure, (*bad[1], weak)
+                else:
+                    bad = sure, bad[1]
                 child = node
                 if len(stack) < DEPTH:
                     sign = tag + ("." + re.sub(r"\d+", "0", name)[:60] if name else "")
@@ -125,6 +164,12 @@ class Page:
         if at < len(source):
             text.append(_html.unescape(source[at:]))
         flush()
+        under: Counter = Counter()
+        for (_, bad, whole), own in zip(self.blocks, inner, strict=True):
+            if not bad:
+                under.update(dict.fromkeys((0, *own), len(whole)))
+        most = {k for k, n in under.items() if 2 * n > under[0]}
+        self.blocks = [(path, bad or not most.issuperset(own), whole) for (path, bad, whole), own in zip(self.blocks, inner, strict=True)]
 
     def name(self, path: int) -> str:
         parts = []
