@@ -127,6 +127,14 @@ def test_discovery(spark):
     assert clean[100] == "other words account <CONTEXT> closed today" and clean[3] == "words here account <IP> closed now" and clean[101] == rows[13][1]
 
 
+def test_discovery_goes_on(spark):
+    a, b, c = ([f"300.1.{k}.{4000 + i}" for i in range(n)] for k, n in ((1, 40), (2, 8), (3, 1)))
+    rows = [f"first account 10.0.{i}.7 closed now" for i in range(240)] + [f"first account {v} closed now" for v in a]
+    rows += [f"one order {v} sent off" for v in (*a, *b)] + [f"a badge {v} shown here" for v in (*b, *c)] + ["none 300.1.9.4000 other"]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.extract(frame(spark, list(enumerate(rows))))).collect()}
+    assert all(got[i].startswith("context:") for i, t in enumerate(rows) if t.startswith(("one", "a badge"))) and got[len(rows) - 1] == ""
+
+
 # -- 4 -------------------------------------------------------------------------------------------------------------------
 
 

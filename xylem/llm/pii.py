@@ -2,7 +2,8 @@
 
 Base patterns find seeds (e-mail and IP addresses, card and phone numbers). The words around digit-bearing tokens are lexical patterns;
 a graph of patterns and instances, aggregated over all documents, is scored in rounds: a pattern by the confidence of its instances,
-an instance by its patterns. High-confidence patterns then find identifiers that no base pattern has.
+an instance by its patterns. Identifiers that a round finds support patterns in the next one, until a round adds nothing. High-confidence
+patterns then find identifiers that no base pattern has.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialise
+from ..session import broadcast_if_small, drop_materialised, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive repeats and look-behinds give the matches of the plain patterns in time linear in the text.
@@ -25,8 +26,7 @@ TOKEN = r"(?:\G|(?<![A-Za-z0-9@._%+-]))[A-Za-z@._%+-]*+[0-9][A-Za-z0-9@._%+-]*+"
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: A token counts with so many characters and digits at least.
 TOKEN_CHARS, TOKEN_DIGITS = 6, 4
-ROUNDS = 2
-#: Different instances that a pattern needs among the seeds, its share of confident instances, and the confidence of what it finds.
+#: Different confident instances that a pattern needs, its share of confident instances, and the confidence of what it finds.
 SUPPORT, PRECISION, CONFIDENCE = 3, 0.8, 0.9
 #: Texts with spans are broadcast up to this number when they are cut.
 BROADCAST_ROWS = 200_000
@@ -115,16 +115,31 @@ def occurrences(found: DataFrame) -> DataFrame:
 
 
 def scored(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Confident patterns (p) and confident instances (v) of the graph (p, v, seed)."""
-    sure = edges.select("p", "v", "seed", F.col("seed").cast("double").alias("c"))
-    for turn in range(ROUNDS):
-        good = sure.groupBy("p").agg(F.avg("c").alias("precision"), F.sum("seed").alias("support")).filter((F.col("support") >= SUPPORT) & (F.col("precision") >= PRECISION))
-        good = materialise(good, "patterns")
-        odds = edges.join(good, "p").groupBy("v").agg(F.max("seed").alias("is_seed"), F.sum(F.log(1 - 0.999 * F.col("precision"))).alias("doubt"))
-        inst = materialise(odds.select("v", F.when(F.col("is_seed") == 1, 1.0).otherwise(1 - F.exp("doubt")).alias("c")), "instances")
-        if turn + 1 < ROUNDS:
-            sure = edges.join(inst, "v", "left").select("p", "v", "seed", F.coalesce("c", F.col("seed").cast("double")).alias("c"))
-    return good.select("p"), inst.filter(F.col("c") >= CONFIDENCE).select("v")
+    """Confident patterns (p) and confident instances (v) of the graph (p, v, seed).
+
+    What a round has found stays, so the rounds add to it and come to an end: the first one that adds neither a pattern nor an instance.
+    """
+    sure = edges.select("p", "v", F.col("seed").cast("double").alias("c"), F.col("seed").cast("int").alias("known"))
+    good = inst = None
+    size = None
+    while True:
+        # A seed is certain, an instance of an earlier round is known; only these support a pattern.
+        found = sure.groupBy("p").agg(F.avg("c").alias("precision"), F.sum("known").alias("support")).filter((F.col("support") >= SUPPORT) & (F.col("precision") >= PRECISION))
+        if good is not None:
+            found = found.select("p", "precision").unionByName(good).groupBy("p").agg(F.max("precision").alias("precision"))
+        new_good = materialise(found.select("p", "precision"), "patterns")
+        odds = edges.join(new_good, "p").groupBy("v").agg(F.max("seed").alias("is_seed"), F.sum(F.log(1 - 0.999 * F.col("precision"))).alias("doubt"))
+        new_inst = materialise(odds.select("v", F.when(F.col("is_seed") == 1, 1.0).otherwise(1 - F.exp("doubt")).alias("c")), "instances")
+        for old in (good, inst):
+            if old is not None:
+                drop_materialised(old)
+        good, inst = new_good, new_inst
+        now = (good.count(), inst.filter(F.col("c") >= CONFIDENCE).count())
+        if now == size:
+            return good.select("p"), inst.filter(F.col("c") >= CONFIDENCE).select("v")
+        size = now
+        c = F.coalesce("c", F.col("seed").cast("double"))
+        sure = edges.join(inst, "v", "left").select("p", "v", c.alias("c"), F.greatest("seed", (c >= CONFIDENCE).cast("int")).alias("known"))
 
 
 def discovered(found: DataFrame) -> DataFrame:
