@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,23 +32,37 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process (as in tests) gets a local folder; on a cluster there is none that all machines see, so it is an error.
+    """
     there = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = f"file:///tmp/xylem-shared-{os.getuid()}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+        there = f"file://{tempfile.gettempdir()}/xylem-shared-{os.getuid()}"
         spark.sparkContext.setCheckpointDir(there)
         there = spark.sparkContext.getCheckpointDir()
     return there
 
 
+#: Spark's own switch for shuffle files to go as soon as the execution that made them has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a re-read and nothing more.
+    Cuts the lineage: a lost executor costs a re-read and nothing more. What was shuffled for the table is freed once it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._xylem_path = path
     return out
