@@ -309,6 +309,26 @@ def test_repeats(spark, docs, length):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in got)
 
 
+def test_repeated_passages(spark):
+    """Passages of 51 words against brute force: short words hold no 400 bytes, and 50 words are too few."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 3)))
+    shared = [[word() + str(i) for i in range(n)] for n in (50, 51, 60, 400)]
+    rows = [(0, None), (1, ""), (2, "x"), (3, "y " * 51), (4, "y " * 52)]
+    for i, p in enumerate([*shared, *shared, shared[2], shared[3][:45], shared[3][:300]]):
+        own = [f"w{i}_{j}" for j in range(rnd.randint(0, 90))]
+        rows.append((10 + i, " ".join([*own, *p, *[f"v{i}_{j}" for j in range(rnd.randint(0, 90))]])))
+    seen = Counter(tuple(w[i : i + 51]) for _, t in rows for w in [(t or "").split()] for i in range(len(w) - 50))
+    want = {}
+    for k, t in rows:
+        w = (t or "").split()
+        hit = {j for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}
+        want[k] = len(hit)
+    got = repeats.repeated_strings(frame(spark, rows), passage=repeats.PASSAGE)
+    assert {r["doc_id"]: r["n_passage_words"] for r in got.collect()} == want and want[10] == 0 and want[11] == 51 and want[3] == 51
+    assert got.filter("doc_id in (11, 15)").agg({"n_removed": "sum"}).first()[0] == 0
+
+
 def test_difference_covers():
     for q in (2, 3, 5, 7, 11):
         v, d = repeats.difference_cover(q)

@@ -45,12 +45,23 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prefixes:
-    """Hashes of substrings [a, b) of a byte array; equal bytes give equal hashes wherever they stand."""
+    """Hashes of substrings [a, b) of an array of bytes, or of 64-bit numbers; equal parts give equal hashes wherever they stand."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
         up, self.down = powers(BASES[which], len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTES[which][data] * up[: len(data)], out=self.sums[1:])
+        codes = BYTES[which][data] if data.dtype == np.uint8 else mix(data + BYTES[which][0])
+        np.cumsum(codes * up[: len(data)], out=self.sums[1:])
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.sums[b] - self.sums[a]) * self.down[a] + np.uint64(0x9E3779B97F4A7C15) * (b - a).astype(np.uint64))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word, split at ASCII white space."""
+    parts = (text or "").encode("utf-8", "surrogatepass").split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    ends = np.cumsum(lengths) - 1
+    return Prefixes(np.frombuffer(b" ".join(parts), np.uint8))(ends - lengths + 1, ends)

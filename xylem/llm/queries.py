@@ -55,7 +55,7 @@ SELECT s.doc_id, len(sh) n_shingles, c.c component_id, s.doc_id = c.c kept FROM
 
 
 def op7_difference_cover(spark, sf_dir):
-    return repeats.repeated_strings(table(spark, sf_dir, "documents"))
+    return repeats.repeated_strings(table(spark, sf_dir, "documents"), passage=repeats.PASSAGE)
 
 
 def op8_best_fit(spark, sf_dir):

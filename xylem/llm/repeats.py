@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .hashing import Prefixes
+from .hashing import Prefixes, word_hashes
 
 LENGTH = 400
+#: Words of a passage that counts as repeated, whatever its bytes.
+PASSAGE = 51
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -118,8 +120,13 @@ def all_places(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(F.explode(F.when(F.col("others").isNull(), own).otherwise(F.concat(own, pairs))).alias("_p"), *more).select("_p.k", "_p.x", *more)
 
 
-def samples(df: DataFrame, length: int) -> DataFrame:
-    """(k, x, h, w, others) for the sampled positions of each text (k, t): names of the bytes after x and of the window around it.
+def _units(text: str | None, words: bool) -> np.ndarray:
+    """What positions count: the bytes of a text, or its words."""
+    return word_hashes(text) if words else _bytes(text)
+
+
+def samples(df: DataFrame, length: int, words: bool = False) -> DataFrame:
+    """(k, x, h, w, others) for the sampled positions of each text (k, t): names of the bytes (or words) after x and of the window around it.
 
     x is packed: the position and, in its low 24 bits, the two distances of the strings that meet there.
     """
@@ -134,7 +141,7 @@ def samples(df: DataFrame, length: int) -> DataFrame:
         for b in batches:
             out, have = [], 0
             for k, t in zip(b["k"], b["t"], strict=True):
-                data = _bytes(t)
+                data = _units(t, words)
                 n = len(data)
                 if n < length:
                     continue
@@ -153,7 +160,7 @@ def samples(df: DataFrame, length: int) -> DataFrame:
     return df.mapInPandas(run, "k long, x long, n0 long, n1 long, others array<long>").withColumnsRenamed({"n0": "h", "n1": "w"})
 
 
-def through(df: DataFrame, length: int) -> DataFrame:
+def through(df: DataFrame, length: int, words: bool = False) -> DataFrame:
     """(k, x, a, b, others): 80-bit names of the strings that meet at the samples in ``stand`` of each text (k, t, stand); x is where they start."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,7 +170,7 @@ def through(df: DataFrame, length: int) -> DataFrame:
             for k, t, stand in zip(b["k"], b["t"], b["stand"], strict=True):
                 if stand is None or not len(stand):
                     continue
-                data = _bytes(t)
+                data = _units(t, words)
                 x, l, m = unpacked(stand, len(data))
                 mark = np.zeros(len(data) + 1, np.int32)
                 np.add.at(mark, x - l, 1)
@@ -191,44 +198,44 @@ def unpacked(packed, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v >> 24, v >> 12 & 0xFFF, v & 0xFFF
 
 
+def covered(cover, again, n: int, length: int) -> np.ndarray:
+    """Whether each of ``n`` positions is covered: by windows around ``cover``, or by strings at ``again``."""
+    mark = np.zeros(n + 1, np.int32)
+    x, l, m = unpacked(cover, n)
+    p = np.asarray([] if again is None else again, np.int64)
+    p = p[p + length <= n]
+    for start, end in ((x - l, np.minimum(x - m + length, n)), (p, p + length)):
+        np.add.at(mark, start, 1)
+        np.add.at(mark, end, -1)
+    return np.cumsum(mark[:-1]) > 0
+
+
 CUT_SCHEMA = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
 
 
 def cut(df: DataFrame, length: int, keep: bool) -> DataFrame:
-    """Cut the covered bytes out of each text (k, t, cover, again): windows around ``cover``, strings at ``again``."""
+    """Cut the covered bytes out of each text (k, t, cover, again)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for k, t, cover, again in zip(b["k"], b["t"], b["cover"], b["again"], strict=True):
                 data = _bytes(t)
-                n = len(data)
-                mark = np.zeros(n + 1, np.int32)
-                x, l, m = unpacked(cover, n)
-                p = np.asarray([] if again is None else again, np.int64)
-                p = p[p + length <= n]
-                for start, end in ((x - l, np.minimum(x - m + length, n)), (p, p + length)):
-                    np.add.at(mark, start, 1)
-                    np.add.at(mark, end, -1)
-                gone = np.cumsum(mark[:-1]) > 0
+                gone = covered(cover, again, len(data), length)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 left = data[~gone].tobytes()
-                rows.append((k, n, int(gone.sum()), len(edge) // 2, hashlib.sha256(left).hexdigest(), [{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()] if keep else None, left if keep else None))
+                rows.append((k, len(data), int(gone.sum()), len(edge) // 2, hashlib.sha256(left).hexdigest(), [{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()] if keep else None, left if keep else None))
             yield pd.DataFrame(rows, columns=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     return df.mapInPandas(run, CUT_SCHEMA)
 
 
-def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: bool = False) -> DataFrame:
-    """Remove every byte that a ``length``-byte string covers which also starts anywhere else.
+def places(base: DataFrame, length: int, words: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Where strings of ``length`` bytes (or words) of the texts (k, t) start that also start anywhere else.
 
-    Result: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep`` the removed spans and the bytes kept.
-    Null and empty texts have no bytes. Keys are integers above -2^62 and tell texts apart; repeated rows are copies of one another, and so lose
-    everything if long enough. Rows with a null key are told apart by their texts. An empty table gives an empty result.
+    Two tables: (k, t, cover, stand) of the texts that have any, and (k, again). A text's covered positions follow from ``cover`` and ``again``.
     """
-    nameless = F.lit(-(2**62)) - F.xxhash64(F.col(text).cast("string")).bitwiseAND(2**61 - 1)
-    base = docs.select(F.coalesce(F.col(key).cast("long"), nameless).alias("k"), F.col(text).cast("string").alias("t"))
-    named = samples(base.filter(F.octet_length("t") >= length), length)
+    named = samples(base.filter(F.octet_length("t") >= (2 * length - 1 if words else length)), length, words)
     group, window = Window.partitionBy("h"), Window.partitionBy("h", "w")
     many = F.col("others").isNotNull()
     seen = named.withColumn("most", F.max("w").over(group)).withColumn("least", F.min("w").over(group)).withColumn("members", F.count("*").over(group)).filter((F.col("members") > 1) | many)
@@ -241,11 +248,42 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     lists = seen.groupBy("k").agg(F.collect_list(F.when(F.col("cover"), F.col("x"))).alias("cover"), F.collect_list(F.when(F.col("stand"), F.col("x"))).alias("stand"))
     lists = materialise(lists, "lists").filter(F.size("cover") + F.size("stand") > 0)  # all; a filter lets Spark put a Bloom filter on the texts
     touched = materialise(base.join(lists, "k"), "touched")
-    full = through(touched.filter(F.size("stand") > 0).select("k", "t", "stand"), length)
+    full = through(touched.filter(F.size("stand") > 0).select("k", "t", "stand"), length, words)
     twice = full.withColumn("n", F.count("*").over(Window.partitionBy("a", "b"))).filter((F.col("n") > 1) | F.col("others").isNotNull())
-    again = all_places(twice).groupBy("k").agg(F.collect_set("x").alias("again"))
+    return touched, materialise(all_places(twice).groupBy("k").agg(F.collect_set("x").alias("again")), "again")
+
+
+def repeated_passages(base: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """(k, n_passage_words) for the texts (k, t) with passages of ``words`` words that also start anywhere else: the words that they cover.
+
+    The same steps over words instead of bytes: a passage of short words holds no string of 400 bytes, and counts here all the same.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"k": b["k"], "n": [int(covered(c, a, len(_units(t, True)), words).sum()) for t, c, a in zip(b["t"], b["cover"], b["again"], strict=True)]})
+
+    touched, again = places(base, words, True)
+    rows = touched.select("k", "t", "cover").join(again, "k", "left").mapInPandas(run, "k long, n long")
+    return materialise(rows.groupBy("k").agg(F.max("n").alias("n_passage_words")).filter("n_passage_words > 0"), "passages")
+
+
+def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: bool = False, passage: int | None = None) -> DataFrame:
+    """Remove every byte that a ``length``-byte string covers which also starts anywhere else.
+
+    Result: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep`` the removed spans and the bytes kept. ``passage`` adds
+    ``n_passage_words``: words in passages of so many words that also start anywhere else; they are reported, not removed.
+    Null and empty texts have no bytes. Keys are integers above -2^62 and tell texts apart; repeated rows are copies of one another, and so lose
+    everything if long enough. Rows with a null key are told apart by their texts. An empty table gives an empty result.
+    """
+    nameless = F.lit(-(2**62)) - F.xxhash64(F.col(text).cast("string")).bitwiseAND(2**61 - 1)
+    base = docs.select(F.coalesce(F.col(key).cast("long"), nameless).alias("k"), F.col(text).cast("string").alias("t"))
+    touched, again = places(base, length)
     done = cut(touched.select("k", "t", "cover").join(again, "k", "left"), length, keep)
     whole = base.select("k", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce(F.encode("t", "UTF-8"), F.lit(b"")), 256).alias("kept_sha256"), *([F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.coalesce(F.encode("t", "UTF-8"), F.lit(b"")).alias("kept")] if keep else []))
     names = ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept"] if keep else [])]
     out = done.select(names).unionByName(whole.join(touched.select("k").distinct(), "k", "left_anti").select(names))
+    if passage:
+        out = out.join(repeated_passages(base, passage), "k", "left").withColumn("n_passage_words", F.coalesce("n_passage_words", F.lit(0)).cast("long"))
+        names.append("n_passage_words")
     return out.select(F.when(F.col("k") > -(2**62), F.col("k")).alias("doc_id"), *names[1:])
