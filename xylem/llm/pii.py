@@ -1,6 +1,7 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Base patterns find seeds (e-mail and IP addresses, card and phone numbers). The words around digit-bearing tokens are lexical patterns;
+Base patterns find seeds (e-mail and IP addresses, card and phone numbers), and so does the shape of keys (long hexadecimal or mixed strings),
+which count only where a confident pattern has them. The words around digit-bearing tokens are lexical patterns;
 a graph of patterns and instances, aggregated over all documents, is scored in rounds: a pattern by the confidence of its instances,
 an instance by its patterns. Identifiers that a round finds support patterns in the next one, until a round adds nothing. High-confidence
 patterns then find identifiers that no base pattern has.
@@ -24,6 +25,11 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TOKEN = r"(?:\G|(?<![A-Za-z0-9@._%+-]))[A-Za-z@._%+-]*+[0-9][A-Za-z0-9@._%+-]*+"
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+#: Seeds that are no base kind: 32 hexadecimal digits or more, or 20 letters and digits or more of both cases, with letters and digits.
+KEY = r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|(?=[^a-z]*+[a-z])(?=[^A-Z]*+[A-Z])[A-Za-z0-9+/_-]{20,}+=*+)$"
+#: The word before a token, with the sign that assigns it, read backwards; the word after it.
+LEFT = r"^[\s\"'(<\[]*+([=:]*+\s*+[^\s\"'(<\[]++)"
+RIGHT = r"^[\s\"')>\],.;:]*+([^\s\"')>\],.;:]++)"
 #: A token counts with so many characters and digits at least.
 TOKEN_CHARS, TOKEN_DIGITS = 6, 4
 #: Different confident instances that a pattern needs, its share of confident instances, and the confidence of what it finds.
@@ -84,8 +90,8 @@ def tokens(text: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         at = acc["p"] + F.length(x["gap"])
         end = at + F.length(x["hit"])
-        left = F.lower(F.regexp_extract(F.right(x["gap"], F.lit(60)), r"([^\s\"'(<\[]+)[\s\"'(<\[]*$", 1))
-        right = F.lower(F.regexp_extract(F.left(x["next"], F.lit(60)), r"^[\s\"')>\],.;:]*([^\s\"')>\],.;:]+)", 1))
+        left = F.lower(F.reverse(F.regexp_extract(F.reverse(x["gap"]), LEFT, 1)))
+        right = F.lower(F.regexp_extract(F.coalesce(x["next"], F.lit("")), RIGHT, 1))
         row = F.struct(at.alias("s"), end.alias("e"), x["hit"].alias("v"), left.alias("left"), right.alias("right"))
         counts = (F.length(x["hit"]) >= TOKEN_CHARS) & (F.length(F.regexp_replace(x["hit"], "[^0-9]", "")) >= TOKEN_DIGITS)
         return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("p"), F.when(counts, F.concat(acc["o"], F.array(row))).otherwise(acc["o"]).alias("o")))
@@ -103,15 +109,16 @@ def found_in(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """(k, h, s, e, v, seed, patterns): a row for each token, whether a base span overlaps it, and its patterns."""
+    """(k, h, s, e, v, base, seed, patterns): a row for each token, whether a base span overlaps it, whether it is a seed, and its patterns."""
     spans = F.concat(*[F.col(kind) for kind in KINDS])
     rows = found.filter(F.size("tokens") > 0).select("k", "h", spans.alias("spans"), F.explode("tokens").alias("x")).select("k", "h", "spans", "x.*")
-    seed = F.exists("spans", lambda b: (b["s"] < F.col("e")) & (F.col("s") < b["e"]))
+    base = F.exists("spans", lambda b: (b["s"] < F.col("e")) & (F.col("s") < b["e"]))
+    seed = base | F.col("v").rlike(KEY)
     slot = F.when(F.contains("v", F.lit("@")), "@").when(~F.col("v").rlike("[A-Za-z]"), "9").otherwise("x")
     pattern = lambda side, *words: F.xxhash64(F.lit(side), slot, *words)
     left, right = F.col("left") != "", F.col("right") != ""
     patterns = F.array_compact(F.array(F.when(left, pattern("L", "left")), F.when(right, pattern("R", "right")), F.when(left & right, pattern("B", "left", "right"))))
-    return rows.select("k", "h", "s", "e", F.xxhash64("v").alias("v"), seed.cast("int").alias("seed"), patterns.alias("patterns"))
+    return rows.select("k", "h", "s", "e", F.xxhash64("v").alias("v"), base.alias("base"), seed.cast("int").alias("seed"), patterns.alias("patterns"))
 
 
 def scored(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +154,7 @@ def discovered(found: DataFrame) -> DataFrame:
     seen = occurrences(found)
     edges = materialise(seen.select("v", "seed", F.explode("patterns").alias("p")).groupBy("p", "v").agg(F.max("seed").alias("seed")), "edges")
     good, sure = scored(edges)
-    new = seen.filter("seed = 0").join(sure, "v", "left_semi").select("k", "h", "s", "e", F.explode("patterns").alias("p")).join(good, "p", "left_semi")
+    new = seen.filter("not base").join(sure, "v", "left_semi").select("k", "h", "s", "e", F.explode("patterns").alias("p")).join(good, "p", "left_semi")
     return new.groupBy("k", "h").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("context"))
 
 
@@ -175,6 +182,7 @@ def digest(spans: DataFrame) -> DataFrame:
     return spans.select(
         F.col("k").alias("doc_id"), *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS],
         F.sha2(joined_spans(KINDS), 256).alias("base_sha256"), joined_spans((*KINDS, "context")).alias("spans"),
+        F.size("context").cast("long").alias("n_context"), sum(F.size(kind) for kind in (*KINDS, "context")).cast("long").alias("n_spans"),
     )
 
 
