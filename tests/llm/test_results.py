@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from xylem.llm import ann, html, language, lm, media, minhash, packing, pii, repeats
+from xylem.llm import ann, html, language, lm, media, minhash, mixing, packing, pii, repeats
 from xylem.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -135,6 +135,37 @@ def test_discovery_goes_on(spark):
     assert all(got[i].startswith("context:") for i, t in enumerate(rows) if t.startswith(("one", "a badge"))) and got[len(rows) - 1] == ""
 
 
+def test_keys_are_found_by_their_context(spark):
+    """Strings of the shape of a key count where a confident pattern has them; the pattern then finds others, of any context length."""
+    long = "q" * 200
+    rows = [(i, f"some words {long}token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" and more") for i in range(6)]
+    rows += [(50, f'and {long}TOKEN = "k{"9a8b7c" * 3}" then'), (51, "see commit " + "0a" * 20), (52, f"{long}token = maybe 2024 or so"), (53, "the word deadbeef1234 alone")]
+    got = {r["doc_id"]: r for r in pii.digest(pii.extract(frame(spark, rows))).collect()}
+    assert all(got[i]["n_context"] == 1 for i in (*range(6), 50)) and all(got[i]["n_spans"] == 0 for i in (51, 52, 53))
+    assert all(got[i]["base_sha256"] == hashlib.sha256(b"").hexdigest() for i in got)
+
+
+# -- 6 -------------------------------------------------------------------------------------------------------------------
+
+
+def test_poisson_tables(spark):
+    """Rates from 0.01 to 100,000 against sums of exact terms, and counts of the right mean and spread."""
+    rates = [0.0, 0.01, 0.7, 1.0, 30.0, 399.9, 400.0, 745.2, 2000.0, 1e5]
+    rows = spark.createDataFrame([(r,) for r in rates], "rate double").select("rate", *mixing.poisson_table(F.col("rate"))).collect()
+    for rate, first, cdf in rows:
+        total = 0.0
+        for k in range(first + len(cdf)):
+            total += math.exp(-rate + (k * math.log(rate) if rate else 0) - math.lgamma(k + 1)) if rate or not k else 0
+            if k >= first and (k - first) % 97 == 0:
+                assert abs(cdf[k - first] - total) < 1e-9, (rate, k)
+        assert abs(cdf[-1] - 1) < 1e-9
+    docs = spark.createDataFrame([(i, "x" * (1 if i < 150 else 10_000_000 // 50), "s" if i < 150 else "t", "e") for i in range(200)], "doc_id long, text string, source string, lang string")
+    for want in (800, 2000):
+        weights = spark.createDataFrame([("s", want * 150.0), ("t", 10_000_150.0 - want * 150.0)], "source string, weight double")
+        n = mixing.poisson_mix(docs, weights=weights).filter("source = 's'").groupBy("doc_id").count().toPandas()["count"]
+        assert len(n) == 150 and abs(n.mean() - want) < 5 * math.sqrt(want / 150) and 0.7 < n.std() / math.sqrt(want) < 1.3
+
+
 # -- 4 -------------------------------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,8 @@ by another hash. All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +29,24 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("long") / F.lit(float(2**48))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """The distribution function at 0, 1, ... as far as a 48-bit uniform number can reach."""
+def poisson_table(rate: Column) -> tuple[Column, Column]:
+    """(first, cdf): the distribution function at first, first + 1, ... as far as a 48-bit uniform number can reach on either side.
+
+    Logarithms of the probabilities are summed up, so that rates of any size work; below 400 the table starts at 0. Beyond, it starts 12
+    standard deviations (and 24) below the mean, with Stirling's series for the factorial there, and is divided by its sum.
+    """
+    first = F.when(rate < 400, F.lit(0)).otherwise(F.floor(rate - 12 * F.sqrt(rate) - 24)).cast("int")
     last = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
-    terms = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda k: F.aggregate(
-            F.sequence(F.lit(0), k),
-            F.struct(F.exp(-rate).alias("p"), F.lit(0.0).alias("c")),
-            lambda a, i: F.struct(
-                F.when(i == 0, a["p"]).otherwise(a["p"] * rate / F.greatest(i, F.lit(1))).alias("p"),
-                (a["c"] + F.when(i == 0, a["p"]).otherwise(a["p"] * rate / F.greatest(i, F.lit(1)))).alias("c"),
-            ),
-            lambda a: a["c"],
-        ),
+    n = F.greatest(first, F.lit(1)).cast("double")
+    log_factorial = F.when(first == 0, 0.0).otherwise((n + 0.5) * F.log(n) - n + 0.5 * math.log(2 * math.pi) + 1 / (12 * n) - 1 / (360 * n * n * n))
+    begin = -rate + F.when(first == 0, 0.0).otherwise(first * F.log(rate)) - log_factorial
+    summed = F.aggregate(
+        F.sequence(first, last),
+        F.struct(begin.alias("p"), F.lit(0.0).alias("c"), F.expr("cast(array() as array<double>)").alias("o")),
+        lambda a, k: F.struct((a["p"] + F.log(rate) - F.log(k + F.lit(1.0))).alias("p"), (a["c"] + F.exp(a["p"])).alias("c"), F.concat(a["o"], F.array(a["c"] + F.exp(a["p"]))).alias("o")),
+        lambda a: F.when(first == 0, a["o"]).otherwise(F.transform(a["o"], lambda c: c / a["c"])),
     )
-    return terms
+    return first, F.when(rate > 0, summed).otherwise(F.array(F.lit(1.0)))
 
 
 def source_rates(df: DataFrame, source: str, size: Column, temperature: float = TEMPERATURE, budget: float = BUDGET, weights: DataFrame | None = None) -> DataFrame:
@@ -71,22 +75,24 @@ def poisson_mix(df: DataFrame, key: str = "doc_id", source: str = "source", text
     A null source is a source of its own, a null text has size 0, equal keys get equal counts, and a null key
     counts as the key ''. Sources hold any share of the rows: the table of rates is one row for each source and
     is broadcast up to a checked number of them; above it, adaptive execution splits the skewed sources of a shuffled join.
+    Copies are dealt by the hash of their shuffle key, and sorted by it in each partition: partitions are random samples in random order.
     """
     df = df.drop("rate", "n_copies", "copy", "shuffle_key")
     rates = source_rates(df, source, F.coalesce(F.length(F.col(text)), F.lit(0)), temperature, budget, weights)
-    rates = rates.select(F.col("source").alias("__xylem_source"), F.col("rate"), poisson_cdf(F.col("rate")).alias("__xylem_cdf"))
+    first, cdf = poisson_table(F.col("rate"))
+    rates = rates.select(F.col("source").alias("__xylem_source"), F.col("rate"), F.coalesce(first, F.lit(0)).alias("__xylem_first"), cdf.alias("__xylem_cdf"))
     rates = broadcast_if_small(materialise(rates, "rates"), BROADCAST_ROWS)
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
     counted = (
         df.join(rates, F.col(source).eqNullSafe(F.col("__xylem_source")))
         .withColumn("__xylem_u", unit_hash(F.lit(str(seed)), k))
-        .withColumn("n_copies", F.size(F.filter("__xylem_cdf", lambda c: c <= F.col("__xylem_u"))))
-        .drop("__xylem_source", "__xylem_cdf", "__xylem_u")
+        .withColumn("n_copies", F.col("__xylem_first") + F.size(F.filter("__xylem_cdf", lambda c: c <= F.col("__xylem_u"))))
+        .drop("__xylem_source", "__xylem_first", "__xylem_cdf", "__xylem_u")
         .filter("n_copies > 0")
     )
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), k, F.col("copy").cast("string"))))
-    return copies.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op6_query(spark, sf_dir):
