@@ -213,7 +213,15 @@ def test_training_sees_every_document(spark, monkeypatch):
     monkeypatch.setattr(lm, "materialise", lambda df, name: seen.append((name, out := table(df, name))) or out)
     lm.train(docs, v)
     n = sum(r["n"] for name, df in seen if name == "trained" for r in df.select("n").collect())
-    assert v.tokens == 640 * 41 and n > 0.9 * v.tokens
+    assert v.tokens == 640 * 41 and n == v.tokens
+
+
+def test_training_does_not_depend_on_the_partitioning(spark):
+    docs = frame(spark, [(i, " ".join(f"w{(i * j) % 50}" for j in range(40))) for i in range(300)]).withColumnRenamed("doc_id", "key")
+    v = lm.vocabulary(lm.count_words(docs))
+    one, two = (lm.train(d, v, 2000, 1000) for d in (docs.repartition(7), docs.orderBy(F.desc("key")).coalesce(1)))
+    assert all(np.array_equal(getattr(one, k), getattr(two, k)) for k in lm.Model.NAMES)
+    assert not np.array_equal(one.wo, lm.Model.start(v.freq).wo)
 
 
 @pytest.mark.parametrize("sizes", [[5], [40] * 7, [3, 9_000, 50, 1], [60] * 100])

@@ -2,7 +2,7 @@
 
 Words are counted over all training documents. The most frequent ones are the model's vocabulary, sorted into classes by frequency; the
 output is a softmax over classes times a softmax within the class, and a word outside the vocabulary is the unknown word times its share of
-the rest. The model is warmed up on a bounded sample, then every partition trains a copy on all its training documents by truncated
+the rest. The model is warmed up on a bounded sample, then every shard of the training documents trains a copy by truncated
 backpropagation, and the copies are averaged. For scoring, documents are laid into lanes and the state is carried from window
 to window, so each gets the likelihood of all its words.
 """
@@ -15,7 +15,7 @@ import pickle
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,9 @@ HIDDEN, CLASSES, CLASS_SIZE = 32, 64, 64
 HEAD = 150_000
 #: Words of the warm-up sample (a bounded one); the distributed training takes all training documents.
 WARM_TOKENS = 400_000
-LANES, WINDOW, RATE = 32, 32, 0.2
+LANES, WINDOW, RATE = 128, 32, 0.2
+#: Words of one shard of the distributed training, and copies that are averaged at once.
+SHARD_TOKENS, FAN_IN = 4_000_000, 32
 SCORE_LANES, SCORE_WINDOW = 256, 128
 #: Distinct words that a counting task holds before it passes them on.
 COUNTED = 400_000
@@ -316,64 +318,77 @@ def vocabulary(counts: DataFrame, head: int = HEAD, size: int = CLASSES * CLASS_
     return Vocabulary.of(pairs, int(total["n"] or 0), int(total["v"]), size)
 
 
-def train(docs: DataFrame, v: Vocabulary, warm_tokens: int = WARM_TOKENS) -> Model:
-    """A model of the training rows (key, text): warmed up on a bounded sample, trained by partition, averaged.
+MODEL_SCHEMA = "shard long, n long, blob binary"
 
-    The copies are averaged in two levels, so that neither a task nor the driver holds more than about the root of their number.
+
+def _packed(shard: int, t: Trainer) -> pd.DataFrame:
+    return pd.DataFrame({"shard": [shard], "n": [t.seen], "blob": [pickle.dumps({k: getattr(t.m, k) for k in Model.NAMES})]})
+
+
+def _mean(b: pd.DataFrame) -> pd.DataFrame:
+    """One copy for several, weighted by their words, summed in the order of their shards."""
+    b, total = b.sort_values("shard"), {}
+    n = int(b["n"].sum())
+    for weight, blob in zip(b["n"] / n, b["blob"], strict=True):
+        for k, w in pickle.loads(blob).items():
+            total[k] = total.get(k, 0) + w.astype(np.float64) * weight
+    return pd.DataFrame({"shard": b["shard"].iloc[:1], "n": [n], "blob": [pickle.dumps({k: w.astype(np.float32) for k, w in total.items()})]})
+
+
+def train(docs: DataFrame, v: Vocabulary, warm_tokens: int = WARM_TOKENS, shard_tokens: int = SHARD_TOKENS) -> Model:
+    """A model of the training rows (key, text): warmed up on a bounded sample, trained by shard on all rows, averaged.
+
+    Rows are dealt to shards by a hash of key and text, and sorted by it there, so the model does not depend on how the input is
+    partitioned, and a task that runs again gives what it gave. Copies are averaged in a tree: a task holds the sum and one copy, the driver ``FAN_IN``.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(v)
+    order = F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
 
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    def texts(rows: Iterator[str | None]) -> Iterator[np.ndarray]:
         places = sent.value.lookup()
-        for b in batches:
-            for t in b["text"]:
-                yield _ids(sent.value, places, t)
-
-    def pack(t: Trainer) -> pd.DataFrame:
-        return pd.DataFrame({"n": [t.seen], "blob": [pickle.dumps({k: getattr(t.m, k) for k in Model.NAMES})]})
+        for t in rows:
+            yield _ids(sent.value, places, t)
 
     def warm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = Trainer(Model.start(sent.value.freq), sent.value.end)
 
         def some() -> Iterator[np.ndarray]:
             n = 0
-            for ids in texts(batches):
+            for ids in texts(x for b in batches for x in b["text"]):
                 yield ids
                 n += len(ids)
                 if n >= warm_tokens:
                     return
 
         t.learn(some())
-        yield pack(t)
+        yield _packed(0, t)
 
-    ends = int(v.freq[v.end])
+    if not int(v.freq[v.end]):
+        return Model.start(v.freq)
     parts = max(1, v.tokens // max(1, warm_tokens))  # of which one is the sample
-    sample = docs.filter(F.pmod(F.xxhash64("key", F.lit("warm")), F.lit(parts)) == 0).select("text") if ends else docs.limit(0).select("text")
-    sample = sample.repartition(1)
-    schema = "n long, blob binary"
-    warmed = sample.mapInPandas(warm, schema).first()
+    sample = docs.select("text", order.alias("o")).filter(F.pmod(F.xxhash64("o", F.lit("warm")), F.lit(parts)) == 0)
+    warmed = sample.repartition(1).sortWithinPartitions("o", "text").select("text").mapInPandas(warm, MODEL_SCHEMA).first()
     first = Model(**pickle.loads(warmed["blob"])) if warmed else Model.start(v.freq)
     begun = spark.sparkContext.broadcast(first)
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = Trainer(begun.value, sent.value.end, RATE / 2)
-        t.learn(texts(batches))
-        if t.seen:
-            yield pack(t)
-
-    def mean(b: pd.DataFrame) -> pd.DataFrame:
-        total, n = None, int(b["n"].sum())
-        for weight, blob in zip(b["n"] / n, b["blob"], strict=True):
-            w = {k: a * np.float32(weight) for k, a in pickle.loads(blob).items()}
-            total = w if total is None else {k: total[k] + w[k] for k in w}
-        return pd.DataFrame({"n": [n], "blob": [pickle.dumps(total)]})
-
-    mine = docs.select("text").mapInPandas(part, schema)
-    mine = materialise(mine, "trained")
-    many = max(1, math.isqrt(mine.count()))
-    level = mine.withColumn("g", F.pmod(F.xxhash64("n", F.length("blob"), F.spark_partition_id()), F.lit(many))).groupBy("g").applyInPandas(mean, schema).toPandas()
-    return Model(**pickle.loads(mean(level)["blob"][0])) if len(level) else first
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Shards stand one after another in a partition; each trains a copy of its own."""
+        rows = ((s, x) for b in batches for s, x in zip(b["shard"], b["text"], strict=True))
+        for shard, own in groupby(rows, key=lambda r: r[0]):
+            t = Trainer(begun.value, sent.value.end, RATE / 2)
+            t.learn(texts(x for _, x in own))
+            yield _packed(int(shard), t)
+
+    shards = max(1, -(-v.tokens // shard_tokens))
+    dealt = docs.select("text", order.alias("o")).withColumn("shard", F.pmod(F.xxhash64("o", F.lit("shard")), F.lit(shards)))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "o", "text").select("shard", "text")
+    level = materialise(dealt.mapInPandas(each, MODEL_SCHEMA), "trained")
+    while shards > FAN_IN:
+        shards = -(-shards // FAN_IN)
+        level = materialise(level.withColumn("g", F.pmod("shard", F.lit(shards))).groupBy("g").applyInPandas(lambda b: _mean(b).assign(shard=b["g"].iloc[0]), MODEL_SCHEMA), "trained")
+    last = level.toPandas()
+    return Model(**pickle.loads(_mean(last)["blob"][0])) if len(last) else first
 
 
 SCORED = "key string, held_out boolean, n_tokens long, n_known long, base double, score double, n_rest long, rest array<binary>"
