@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.parser import Node, Parser
+from ..session import prepare
+from ..sources.parser import Parser
 
 VIOLATION = ["doc_id", "node_id", "phase", "pre", "rule", "message"]
 MAX_DEPTH = 512
@@ -57,53 +58,97 @@ def _child_names(nodes: DataFrame) -> DataFrame:
 
 # -- DTD -------------------------------------------------------------------------------------------------------------
 
+DECLARATION = re.compile(r"<!(ELEMENT|ATTLIST)\s+([^\s>]+)\s*((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>")
+ATTRIBUTE_RULE = re.compile(r"([^\s\"']+)\s+(\([^)]*\)|\w+(?:\s*\([^)]*\))?)\s*(#REQUIRED|#IMPLIED|(?:#FIXED\s+)?(?:\"[^\"]*\"|'[^']*'))?")
+MODEL_PART = re.compile(r"#?[\w:.\-]+|[(),|?*+]")
+RULES = "dtd long, name string, what string, rule_no int, child string, type string, required boolean, model string"
+
 
 @dataclass
 class Dtd:
-    """Rules of a subset, read line by line: one declaration on a line, one attribute in an ATTLIST."""
+    """Rules of document types: content models by element, and attributes in the order of their declarations.
+
+    With ``one_line`` (as documented for this engine) a declaration is one that stands on a line of its own, with one attribute; without
+    it, declarations go over any number of lines and an ATTLIST holds any number of attributes.
+    """
 
-    elements: dict[str, tuple[str, str]] = field(default_factory=dict)
+    elements: dict[str, str] = field(default_factory=dict)
     attributes: dict[str, list[dict]] = field(default_factory=dict)
 
-    def load(self, subset: str) -> Dtd:
-        for line in subset.split("\n"):
-            words = line.split()
-            if len(words) >= 3 and words[0].startswith("<!ELEMENT"):
-                spec = " ".join(words[2:])
-                kind = "EMPTY" if "EMPTY" in spec else "ANY" if "ANY" in spec else "CHILDREN"
-                self.elements[words[1]] = (kind, spec)
-            elif len(words) >= 4 and words[0].startswith("<!ATTLIST"):
-                default = " ".join(words[4:]).rstrip(">").strip() if len(words) >= 5 else "#IMPLIED"
-                value = None
-                if "#FIXED" in default:
-                    value = default.split()[1].strip("\"'") if len(default.split()) > 1 else None
-                elif default[:1] in ("'", '"'):
-                    value = default.strip("\"'")
-                self.attributes.setdefault(words[1], []).append({"name": words[2], "type": words[3].rstrip(">"), "default": default, "value": value})
+    def load(self, subset: str, one_line: bool = True) -> Dtd:
+        for piece in subset.split("\n") if one_line else (subset,):
+            found = DECLARATION.match(piece.strip()) if one_line else None
+            for kind, name, rest in [found.groups()] if found else [] if one_line else DECLARATION.findall(piece):
+                if kind == "ELEMENT":
+                    self.elements[name] = " ".join(rest.split())
+                    continue
+                listed = ATTRIBUTE_RULE.findall(rest)
+                for attr, kind_, default in listed[:1] if one_line else listed:
+                    quoted = re.search(r"([\"'])(.*)\1$", default, re.S)
+                    self.attributes.setdefault(name, []).append({"name": attr, "type": kind_, "default": default or "#IMPLIED", "value": quoted[2] if quoted else None})
         return self
 
-    def required_children(self) -> dict[str, list[str]]:
-        """Names that a plain sequence asks for; other models are not checked by presence."""
-        out = {}
-        for name, (kind, spec) in self.elements.items():
-            spec = spec.rstrip(">").strip()
-            if kind == "CHILDREN" and "," in spec and "*" not in spec and "?" not in spec:
-                out[name] = [p.strip().strip("()").strip() for p in spec.split(",")]
+    def content(self, name: str) -> str:
+        """EMPTY, ANY, MIXED (character data) or CHILDREN."""
+        model = self.elements[name]
+        return model if model in ("EMPTY", "ANY") else "MIXED" if "#PCDATA" in model else "CHILDREN"
+
+    def required_children(self, name: str) -> list[str]:
+        """Names that a sequence without optional parts asks for; other models are not checked by presence."""
+        parts = MODEL_PART.findall(self.elements[name])
+        if self.content(name) != "CHILDREN" or "," not in parts or {"*", "?", "|"} & {*parts}:
+            return []
+        return [p for p in parts if p not in ("(", ")", ",", "+")]
+
+    def pattern(self, name: str) -> str | None:
+        """The content model as a regular expression over ``name,`` strings, for strict checking."""
+        parts, content = MODEL_PART.findall(self.elements[name]), self.content(name)
+        if content == "MIXED":
+            allowed = [re.escape(p) + "," for p in parts if p[0] not in "#()|?*+,"]
+            return "(?:" + "|".join(allowed) + ")*" if allowed else ""
+        if content != "CHILDREN":
+            return None
+        return "".join("" if p == "," else "(?:" if p == "(" else p if p in ")|?*+" else f"(?:{re.escape(p)},)" for p in parts)
+
+    def rows(self, key: int = 0) -> list[tuple]:
+        """The rules as rows of ``RULES``, under the key of the document type."""
+        out: list[tuple] = []
+        for name in self.elements:
+            if self.content(name) == "EMPTY":
+                out.append((key, name, "empty", 0, None, None, None, None))
+            out += [(key, name, "child", i, child, None, None, None) for i, child in enumerate(self.required_children(name))]
+            if (model := self.pattern(name)) is not None:
+                out.append((key, name, "model", 0, None, None, None, model))
+        for name, listed in self.attributes.items():
+            out += [(key, name, "attribute", i, a["name"], a["type"], a["default"] == "#REQUIRED", None) for i, a in enumerate(listed)]
         return out
 
-    def models(self) -> dict[str, str]:
-        """Content models as regular expressions over ``name,`` strings, for strict checking."""
-        out = {}
-        for name, (kind, spec) in self.elements.items():
-            if kind != "CHILDREN":
-                continue
-            spec = re.sub(r"\s+", "", spec.rstrip(">"))
-            if "#PCDATA" in spec:
-                allowed = [p for p in re.split(r"[|()*]", spec) if p and p != "#PCDATA"]
-                out[name] = "(?:" + "|".join(re.escape(a) + "," for a in allowed) + ")*" if allowed else ""
-            else:
-                out[name] = re.sub(r"(?<=[)?*+]),", "", re.sub(r"[\w:.\-]+", lambda m: f"(?:{re.escape(m[0])}\x00)", spec)).replace("\x00", ",")
-        return out
+
+def _dtd_checks(nodes: DataFrame, rules: DataFrame, strict: bool) -> DataFrame:
+    """Violations of the nodes, which carry the key of their document type in ``_dtd``, against the rules (``RULES``): one join for each kind of rule."""
+    elements = nodes.filter((F.col("kind") == "element") & F.col("pre").isNotNull())
+    of = lambda what: elements.join(rules.filter(F.col("what") == what).withColumnsRenamed({"dtd": "_dtd"}).drop("what"), ["_dtd", "name"])
+    full = nodes.filter("kind in ('element', 'text')").select("doc_id", F.col("parent_id").alias("node_id"))
+    out = [
+        _too_deep(elements),
+        _violation(of("empty").join(full, ["doc_id", "node_id"], "left_semi"), 1, "EMPTY", F.concat(F.lit("Element <"), "name", F.lit("> declared EMPTY but contains child content"))),
+    ]
+    if strict:
+        found = of("model").join(_child_names(nodes), ["doc_id", "node_id"], "left")
+        shown = F.concat(F.array_join(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.concat(n, F.lit(","))), ""), F.lit(""))
+        out.append(_violation(found.filter(~F.regexp_like(shown, F.concat(F.lit("^(?:"), "model", F.lit(")$")))), 1, "MODEL", F.concat(F.lit("Content of element <"), "name", F.lit("> does not match its content model"))))
+    else:
+        there = nodes.filter("kind = 'element'").select("doc_id", F.col("parent_id").alias("node_id"), F.col("name").alias("child"))
+        out.append(_violation(of("child").join(there, ["doc_id", "node_id", "child"], "left_anti"), 1, "CHILDREN", F.concat(F.lit("Element <"), "name", F.lit("> missing required child element <"), "child", F.lit(">"))))
+    held = of("attribute").withColumn("v", F.try_element_at(F.filter("attrs", lambda a: a["name"] == F.col("child")), F.lit(1))["value"])
+    out.append(_violation(held.filter("required and v is null"), 1, "REQUIRED", F.concat(F.lit("Required attribute '"), "child", F.lit("' missing on element <"), "name", F.lit(">"))))
+    typed = held.filter(F.col("type").isin("ID", "IDREF", "IDREFS") & F.col("v").isNotNull())
+    ids = typed.filter("type = 'ID'")
+    again = ids.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "v").orderBy("pre", "rule_no"))).filter("n > 1")
+    out.append(_violation(again, 0, "ID", F.concat(F.lit("Duplicate ID value '"), "v", F.lit("' in element <"), "name", F.lit(">"))))
+    refs = typed.filter("type <> 'ID'").withColumn("v", F.explode(F.when(F.col("type") == "IDREFS", F.filter(F.split("v", r"(?U)\s+"), lambda x: x != "")).otherwise(F.array("v"))))
+    out.append(_violation(refs.join(ids.select("doc_id", "v"), ["doc_id", "v"], "left_anti"), 2, "IDREF", F.concat(F.lit("IDREF '"), "v", F.lit("' in attribute '"), "child", F.lit("' of <"), "name", F.lit("> does not match any declared ID"))))
+    return _union(nodes.sparkSession, out)
 
 
 def dtd_violations(nodes: DataFrame, dtd: Dtd, strict: bool = False) -> DataFrame:
@@ -111,58 +156,40 @@ def dtd_violations(nodes: DataFrame, dtd: Dtd, strict: bool = False) -> DataFram
 
     ``strict`` checks order and cardinality of content models, too.
     """
-    spark = nodes.sparkSession
-    elements = nodes.filter((F.col("kind") == "element") & F.col("pre").isNotNull())
-    out = [_too_deep(elements)]
-    empty = [n for n, (k, _) in dtd.elements.items() if k == "EMPTY"]
-    if empty:
-        full = nodes.filter("kind in ('element', 'text')").select("doc_id", F.col("parent_id").alias("node_id"))
-        out.append(_violation(elements.filter(F.col("name").isin(empty)).join(full, ["doc_id", "node_id"], "left_semi"), 1, "EMPTY", F.concat(F.lit("Element <"), "name", F.lit("> declared EMPTY but contains child content"))))
-    pairs = [(e, i, c) for e, cs in dtd.required_children().items() for i, c in enumerate(cs)]
-    if pairs and not strict:
-        rules = F.broadcast(spark.createDataFrame(pairs, "name string, rule_no int, child string"))  # one row for each name in the DTD
-        there = nodes.filter("kind = 'element'").select("doc_id", F.col("parent_id").alias("node_id"), F.col("name").alias("child"))
-        out.append(_violation(elements.join(rules, "name").join(there, ["doc_id", "node_id", "child"], "left_anti"), 1, "CHILDREN", F.concat(F.lit("Element <"), "name", F.lit("> missing required child element <"), "child", F.lit(">"))))
-    if strict and dtd.models():
-        rules = F.broadcast(spark.createDataFrame(list(dtd.models().items()), "name string, model string"))
-        found = elements.join(rules, "name").join(_child_names(nodes), ["doc_id", "node_id"], "left")
-        shown = F.concat(F.array_join(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.concat(n, F.lit(","))), ""), F.lit(""))
-        out.append(_violation(found.filter(~F.regexp_like(shown, F.concat(F.lit("^(?:"), "model", F.lit(")$")))), 1, "MODEL", F.concat(F.lit("Content of element <"), "name", F.lit("> does not match its content model"))))
-    attributes = [(e, i, a["name"], a["type"], "#REQUIRED" in a["default"]) for e, rules in dtd.attributes.items() for i, a in enumerate(rules)]
-    if attributes:
-        rules = F.broadcast(spark.createDataFrame(attributes, "name string, rule_no int, attr string, type string, required boolean"))
-        held = elements.join(rules, "name")
-        out.append(_violation(held.filter(F.col("required") & ~F.coalesce(F.exists("attrs", lambda a: a["name"] == F.col("attr")), F.lit(False))), 1, "REQUIRED", F.concat(F.lit("Required attribute '"), "attr", F.lit("' missing on element <"), "name", F.lit(">"))))
-        value = F.try_element_at(F.filter("attrs", lambda a: a["name"] == F.col("attr")), F.lit(1))["value"]
-        typed = held.filter(F.col("type").isin("ID", "IDREF", "IDREFS")).withColumn("v", value).filter("v is not null")
-        ids = typed.filter("type = 'ID'")
-        again = ids.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "v").orderBy("pre", "rule_no"))).filter("n > 1")
-        out.append(_violation(again, 0, "ID", F.concat(F.lit("Duplicate ID value '"), "v", F.lit("' in element <"), "name", F.lit(">"))))
-        refs = typed.filter("type <> 'ID'").withColumn("v", F.explode(F.when(F.col("type") == "IDREFS", F.filter(F.split("v", r"(?U)\s+"), lambda x: x != "")).otherwise(F.array("v"))))
-        out.append(_violation(refs.join(ids.select("doc_id", "v"), ["doc_id", "v"], "left_anti"), 2, "IDREF", F.concat(F.lit("IDREF '"), "v", F.lit("' in attribute '"), "attr", F.lit("' of <"), "name", F.lit("> does not match any declared ID"))))
-    return _union(spark, out)
+    rules = F.broadcast(nodes.sparkSession.createDataFrame(dtd.rows(), RULES))  # of one document type
+    return _dtd_checks(nodes.withColumn("_dtd", F.lit(0).cast("long")), rules, strict)
 
 
-def validate_dtd(nodes: DataFrame, dtd: Dtd | None = None, resolver: Callable[[str, str | None], str | None] | None = None, strict: bool = False) -> DataFrame:
+def validate_dtd(nodes: DataFrame, dtd: Dtd | None = None, resolver: Callable[[str, str | None], str | None] | None = None, strict: bool = False, one_line: bool = True) -> DataFrame:
     """Violations against loaded rules, the external subset that ``resolver`` (system id, public id) gives, and each document's own internal subset.
 
-    Documents are told apart by their subset: the distinct subsets, which are schemas and few, are read on the driver; each is checked on its documents.
+    Documents are told apart by a hash of their document type. The different types become rows of rules where they stand, and are joined once,
+    however many there are; the driver sees none of them. A resolver that raises leaves its documents with the loaded rules and their internal subset.
     """
-    own = nodes.filter("kind = 'doctype'").groupBy("doc_id").agg(F.max_by("doctype", "node_id").alias("t"))
-    kinds = own.groupBy("t").agg(F.count("*").alias("n")).limit(1001).collect()
-    if len(kinds) > 1000:
-        raise ValueError("More than 1000 different document types; validate them in groups")
+    prepare(nodes.sparkSession)
     base = dtd or Dtd()
-    out = [dtd_violations(nodes.join(own.select("doc_id"), "doc_id", "left_anti"), base, strict)]
-    for r in kinds:
-        rules = Dtd(dict(base.elements), {k: list(v) for k, v in base.attributes.items()})
-        t = r["t"]
-        if t["system_id"] is not None and resolver is not None:
-            rules.load(resolver(t["system_id"], t["public_id"]) or "")
-        rules.load(t["internal_subset"] or "")
-        same = own.filter(F.col("t").eqNullSafe(F.struct(*[F.lit(t[f]).cast("string").alias(f) for f in ("public_id", "system_id", "internal_subset")]))).select("doc_id")
-        out.append(dtd_violations(nodes.join(same, "doc_id", "left_semi"), rules, strict))
-    return _union(nodes.sparkSession, out)
+    own = nodes.filter("kind = 'doctype'").groupBy("doc_id").agg(F.max_by("doctype", "node_id").alias("t"))
+    own = own.select("doc_id", "t", (F.xxhash64("t.public_id", "t.system_id", "t.internal_subset").bitwiseOR(1)).alias("_dtd"))
+
+    def parsed(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for key, public, system, subset in b.itertuples(index=False, name=None):
+                rules = Dtd(dict(base.elements), {k: list(v) for k, v in base.attributes.items()})
+                if system is not None and resolver is not None:
+                    try:
+                        rules.load(resolver(system, public) or "", one_line)
+                    except Exception:  # noqa: BLE001  any failure of a resolver: not there
+                        pass
+                rows += rules.load(subset or "", one_line).rows(int(key))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RULES.split(", ")])
+
+    kinds = own.groupBy("_dtd").agg(F.first("t").alias("t")).select("_dtd", "t.public_id", "t.system_id", "t.internal_subset")
+    rules = nodes.sparkSession.createDataFrame(base.rows(), RULES).unionByName(kinds.mapInPandas(parsed, RULES))
+    keyed = nodes.join(own.select("doc_id", "_dtd"), "doc_id", "left").withColumn("_dtd", F.coalesce("_dtd", F.lit(0).cast("long")))
+    return _dtd_checks(keyed, rules, strict)
 
 
 def apply_dtd_defaults(nodes: DataFrame, dtd: Dtd) -> DataFrame:
@@ -178,102 +205,88 @@ def apply_dtd_defaults(nodes: DataFrame, dtd: Dtd) -> DataFrame:
 # -- XSD -------------------------------------------------------------------------------------------------------------
 
 
-@dataclass
-class XsdElement:
-    name: str = ""
-    type: str = "xs:string"
-    least: int = 1
-    most: int | None = 1
-    facets: dict = field(default_factory=dict)
-    complex: XsdComplex | None = None
+@dataclass(frozen=True)
+class Particle:
+    """An element declaration: its name, type, how often it may stand in its group, and the facets of its own simple type."""
 
+    name: str
+    type: str
+    least: int
+    most: int | None
+    facets: dict
+    inline: int | None
 
-@dataclass
-class XsdComplex:
-    compositor: str | None = None
-    elements: list[XsdElement] = field(default_factory=list)
-    attributes: list[dict] = field(default_factory=list)
+
+def _count(text: str | None, default: int, other: int | None) -> int | None:
+    """An occurrence: the default where it is absent, ``other`` where it is no number (as for unbounded)."""
+    return default if text is None else int(text) if re.fullmatch(r"\+?\d+", text) else other
 
 
 class Xsd:
-    """Top-level elements and named complex types of a schema; children of complex types count globally by name, the first one wins."""
+    """A schema as flat tables, filled in one pass over its nodes: what a node means follows from its own name and its parent's.
 
-    def __init__(self, schema: str):
-        self.nodes = Parser(schema).run()
-        self.kids: dict[int, list[int]] = {}
-        for i, n in enumerate(self.nodes):
-            if n.kind == "element" and n.parent is not None:
-                self.kids.setdefault(n.parent, []).append(i)
-        self.elements: dict[str, XsdElement] = {}
-        self.types: dict[str, XsdComplex] = {}
-        root = self.kids[1][0]
-        for i in self.kids.get(root, ()):
-            if self._local(i) == "complexType" and self._get(i, "name") is not None:
-                made = self._complex(i)
-                self._register(made)
-                self.types[self._get(i, "name")] = made
-            elif self._local(i) == "element":
-                rule = self._element(i)
-                if rule.name:
-                    if rule.complex:
-                        self._register(rule.complex)
-                    self.elements[rule.name] = rule
-
-    def _register(self, c: XsdComplex) -> None:
-        for e in c.elements:
-            self.elements.setdefault(e.name, e)
-
-    def _node(self, i: int) -> Node:
-        return self.nodes[i]
-
-    def _local(self, i: int) -> str:
-        return self._node(i).name.split(":")[-1]
-
-    def _get(self, i: int, name: str) -> str | None:
-        return dict(reversed(self._node(i).attrs or [])).get(name)
-
-    def _element(self, i: int) -> XsdElement:
-        number = lambda s: int(s) if s is not None and re.fullmatch(r"\+?\d+", s) else None
-        least, most = self._get(i, "minOccurs"), self._get(i, "maxOccurs")
-        nested = next((k for k in self.kids.get(i, ()) if self._local(k) == "complexType"), None)
-        return XsdElement(
-            self._get(i, "name") or "", self._get(i, "type") or self._base(i) or "xs:string", 1 if number(least) is None else number(least), 1 if most is None else number(most),
-            self._facets(i), self._complex(nested) if nested is not None else None,
-        )
-
-    def _base(self, i: int) -> str | None:
-        """The base of an inline simpleType's restriction: its facets hold for it."""
-        simple = next((k for k in self.kids.get(i, ()) if self._local(k) == "simpleType"), None)
-        inner = next((k for k in self.kids.get(simple, ()) if self._local(k) == "restriction"), None) if simple is not None else None
-        return self._get(inner, "base") if inner is not None else None
-
-    def _facets(self, i: int) -> dict:
-        """Of the whole subtree, nested elements included."""
-        out, todo = {}, [i]
-        while todo:
-            k = todo.pop()
-            name, value = self._local(k), self._get(k, "value")
-            if value is not None and name in ("minInclusive", "maxInclusive", "minLength", "maxLength") and re.fullmatch(r"[+-]?\d+", value):
-                out[name] = int(value)
-            elif value is not None and name == "enumeration":
-                out.setdefault(name, []).append(value)
-            elif value is not None and name == "pattern":
-                out[name] = value
-            todo += self.kids.get(k, ())
-        return out
+    ``members``, ``group`` and ``attributes`` are keyed by the node of their complex type. Elements are looked up by name: the top-level ones,
+    and what named types and types of top-level elements hold; among equal names a top-level element counts, else the first.
+    """
 
-    def _complex(self, i: int) -> XsdComplex:
-        out = XsdComplex()
-        for k in self.kids.get(i, ()):
-            name = self._local(k)
-            if name in ("sequence", "choice", "all"):
-                out.compositor, out.elements = name, [self._element(c) for c in self.kids.get(k, ()) if self._local(c) == "element"]
-            elif name == "attribute":
-                out.attributes.append({"name": self._get(k, "name") or "", "type": self._get(k, "type") or "xs:string", "required": self._get(k, "use") == "required", "default": self._get(k, "default")})
-        return out
+    NUMBERS = frozenset(("minInclusive", "maxInclusive", "minLength", "maxLength"))
 
-    def complex_of(self, rule: XsdElement) -> XsdComplex | None:
-        return rule.complex or self.types.get(rule.type)
+    def __init__(self, schema: str):
+        tree = Parser(schema).run()
+        local = [n.name.rpartition(":")[2] if n.kind == "element" else "" for n in tree]
+        given = [dict(reversed(n.attrs or [])) for n in tree]
+
+        def above(i: int, *names: str) -> bool:
+            """Whether these are the names of the parent, its parent and so on."""
+            for name in names:
+                i = tree[i].parent
+                if i is None or local[i] != name:
+                    return False
+            return True
+
+        root = next(i for i, n in enumerate(tree) if n.kind == "element")
+        nearest: dict[int, int] = {}
+        inline: dict[int, int] = {}
+        base: dict[int, str] = {}
+        facets: dict[int, dict] = {}
+        self.group: dict[int, str] = {}
+        self.attributes: dict[int, list[tuple[str, str, bool]]] = {}
+        held: dict[int, tuple[int, list[int]]] = {}
+        for i, n in enumerate(tree):
+            if n.kind != "element":
+                continue
+            up, own, what = n.parent, given[i], local[i]
+            nearest[i] = i if what == "element" else nearest.get(up, i)
+            if what == "complexType" and above(i, "element"):
+                inline.setdefault(up, i)
+            elif what in ("sequence", "choice", "all") and above(i, "complexType"):
+                self.group[up], held[up] = what, (i, [])
+            elif what == "element" and local[up] in ("sequence", "choice", "all") and held.get(tree[up].parent, (None,))[0] == up:
+                held[tree[up].parent][1].append(i)
+            elif what == "attribute" and above(i, "complexType"):
+                self.attributes.setdefault(up, []).append((own.get("name", ""), own.get("type", "xs:string"), own.get("use") == "required"))
+            elif what == "restriction" and above(i, "simpleType", "element"):
+                base.setdefault(nearest[i], own.get("base"))
+            elif "value" in own:
+                mine = facets.setdefault(nearest[i], {})
+                if what == "enumeration":
+                    mine.setdefault(what, []).append(own["value"])
+                elif what == "pattern" or (what in self.NUMBERS and re.fullmatch(r"[+-]?\d+", own["value"])):
+                    mine[what] = own["value"] if what == "pattern" else int(own["value"])
+        particle = {
+            i: Particle(given[i].get("name", ""), given[i].get("type") or base.get(i) or "xs:string", _count(given[i].get("minOccurs"), 1, 1), _count(given[i].get("maxOccurs"), 1, None), facets.get(i, {}), inline.get(i))
+            for i in nearest if local[i] == "element"
+        }
+        self.members = {k: [particle[i] for i in own] for k, (_, own) in held.items()}
+        top = [i for i in nearest if tree[i].parent == root]
+        self.types = {given[i]["name"]: i for i in top if local[i] == "complexType" and "name" in given[i]}
+        holders = [inline.get(i) if local[i] == "element" else i for i in top if local[i] == "element" or "name" in given[i]]
+        nested = [p for i in holders for p in self.members.get(i, ())]
+        self.elements: dict[str, Particle] = {p.name: p for p in reversed(nested)} | {particle[i].name: particle[i] for i in top if local[i] == "element" and particle[i].name}
+
+    def complex_of(self, rule: Particle) -> int | None:
+        """The node of an element's complex type, if it has one."""
+        return rule.inline if rule.inline is not None else self.types.get(rule.type)
 
 
 INT64 = r"^[+-]?[0-9]+$"
@@ -290,15 +303,17 @@ def xsd_violations(nodes: DataFrame, xsd: Xsd, strict: bool = False) -> DataFram
     attrs, kids, comps, simple = [], [], [], []
     for name, rule in xsd.elements.items():
         c = xsd.complex_of(rule)
-        if c:
-            attrs += [(name, a["name"], a["type"] == "xs:integer", a["required"]) for a in c.attributes]
-            if c.compositor:
-                comps.append((name, c.compositor, [e.name for e in c.elements], any(e.least > 0 for e in c.elements), "".join(f"(?:{re.escape(e.name)},){{{e.least},{'' if e.most is None else e.most}}}" for e in c.elements)))
-            if c.compositor in ("sequence", "all"):
-                kids += [(name, i, e.name, e.least, e.most if e.most is not None else (1 if c.compositor == "all" else None)) for i, e in enumerate(c.elements)]
+        if c is not None:
+            group, members = xsd.group.get(c), xsd.members.get(c, [])
+            attrs += [(name, attr, kind == "xs:integer", needed) for attr, kind, needed in xsd.attributes.get(c, ())]
+            if group:
+                comps.append((name, group, [e.name for e in members], any(e.least > 0 for e in members), "".join(f"(?:{re.escape(e.name)},){{{e.least},{'' if e.most is None else e.most}}}" for e in members)))
+            if group in ("sequence", "all"):
+                kids += [(name, i, e.name, e.least, e.most if e.most is not None else (1 if group == "all" else None)) for i, e in enumerate(members)]
         else:
             f = rule.facets
-            simple.append((name, rule.type.split(":")[-1] if rule.type.split(":")[0] in ("xs", "xsd") else "", f.get("minInclusive"), f.get("maxInclusive"), f.get("minLength"), f.get("maxLength"), f.get("enumeration"), f.get("pattern")))
+            prefix, _, plain = rule.type.rpartition(":")
+            simple.append((name, plain if prefix in ("xs", "xsd") else "", f.get("minInclusive"), f.get("maxInclusive"), f.get("minLength"), f.get("maxLength"), f.get("enumeration"), f.get("pattern")))
     small = lambda rows, ddl: F.broadcast(spark.createDataFrame(rows, ddl))  # noqa: E731  rules of the schema, not of the data
     text = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else F.col(p).cast("string") for i, p in enumerate(parts)])
     if attrs:

@@ -7,6 +7,7 @@ window or shuffle is needed later to derive them. Problems become an error row,
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 WS = " \t\r\n"
@@ -15,6 +16,7 @@ ATTRIBUTE = re.compile(r"([\w:.\-]*)[ \t\r\n]*=[ \t\r\n]*(?:\"([^\"]*)\"|'([^']*
 # A whole opening tag without references; whatever else it is goes the long way, which also finds what is wrong.
 PLAIN_TAG = re.compile(r"<([\w:.\-]+)((?:[ \t\r\n]+[\w:.\-]+[ \t\r\n]*=[ \t\r\n]*(?:\"[^\"&]*\"|'[^'&]*'))*)[ \t\r\n]*(/?)>")
 SPACE = re.compile(r"[ \t\r\n]*")
+EXTERNAL = re.compile(r"(?:SYSTEM|PUBLIC\s+(\"[^\"]*\"|'[^']*'))\s+(\"[^\"]*\"|'[^']*')")
 FORBIDDEN = re.compile("[^\t\n\r\\x20-\\uD7FF\\uE000-\\uFFFD\\U00010000-\\U0010FFFF]")
 # Predefined entities.
 PREDEFINED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
@@ -33,6 +35,8 @@ class ParseOptions:
     max_entity_expansion_depth: int = 512
     max_total_entity_expansion_size: int = 10 * 1024 * 1024
     allow_external_entities: bool = False
+    #: Called with the public and system id of an external entity, if these are allowed; gives its text, or None.
+    entity_resolver: Callable[[str | None, str], str | None] | None = None
 
 
 class XmlProblem(Exception):
@@ -66,6 +70,7 @@ class Entities:
             raise XmlProblem("SecurityLimitExceeded", "Maximum entity expansion depth exceeded (possible XML Bomb/Billion Laughs)")
         first, *rest = text.split("&")
         out = [first]
+        self._grow(len(first.encode("utf-8", "surrogatepass")))
         for part in rest:
             name, semicolon, after = part.partition(";")
             if not semicolon:
@@ -77,9 +82,9 @@ class Entities:
                 out.append(PREDEFINED[name])
             elif name in self.names:
                 out.append(self._expand(self.names[name], depth + 1))
-                self._grow(0)
             else:
                 raise XmlProblem("Entity", f"Undeclared entity reference: &{name};")
+            self._grow(len(after.encode("utf-8", "surrogatepass")))
             out.append(after)
         return "".join(out)
 
@@ -248,6 +253,12 @@ class Parser:
             if line.startswith("<!ENTITY") and len(words) >= 3:
                 if ("SYSTEM" in line or "PUBLIC" in line) and not self.o.allow_external_entities:
                     raise self.limit("External entity references in DOCTYPE are forbidden by security policy")
+                external = EXTERNAL.search(line)
+                if external and self.o.entity_resolver is not None:
+                    found = self.o.entity_resolver(*(None if q is None else q[1:-1] for q in external.groups()))
+                    if found is not None:
+                        self.entities.names[words[1]] = found
+                    continue
                 self.entities.names[words[1]] = " ".join(words[2:]).strip("\"'>")
         self.add(0, Node(0, "doctype", m[0], extra=(public, system, subset)))
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
 from .parser import ParseOptions, Parser, XmlProblem, position
+from .plain import plain_nodes, slices
 
 NODES = (
     "node_id int, parent_id int, ord int, depth int, pre int, `end` int, kind string, name string, value string, leaf_text string, "
@@ -89,18 +91,23 @@ def parse_xml(df: DataFrame, xml: str = "xml", doc_id: str = "doc_id", options:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = _Rows(arrow)
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if text is None:
-                    rows.error(k, "Syntax", "No document", None, None)
-                    continue
-                parser = Parser(text, options)
-                try:
-                    rows.add(k, parser.run())
-                except XmlProblem as e:
-                    rows.error(k, e.kind, e.message, *position(text, e.at))
-                if rows.n > 50_000:
-                    yield rows.batch()
-                    rows = _Rows(arrow)
+            keys, texts = b.column(0).cast(arrow.field("doc_id").type), b.column(1)
+            for at, end in slices(texts):
+                made, other = plain_nodes(keys[at:end], texts[at:end], arrow, options)
+                if made is not None:
+                    yield made
+                left = pa.array(np.flatnonzero(other) + at)
+                for k, text in zip(keys.take(left).to_pylist(), texts.take(left).to_pylist(), strict=True):
+                    if text is None:
+                        rows.error(k, "Syntax", "No document", None, None)
+                        continue
+                    try:
+                        rows.add(k, Parser(text, options).run())
+                    except XmlProblem as e:
+                        rows.error(k, e.kind, e.message, *position(text, e.at))
+                    if rows.n > 50_000:
+                        yield rows.batch()
+                        rows = _Rows(arrow)
             if rows.n:
                 yield rows.batch()
 
