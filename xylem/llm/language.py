@@ -21,8 +21,8 @@ BUCKET_BITS = 16
 SMOOTHING = 0.2
 #: Log-likelihood that a further language must bring, for each natural logarithm of the number of words.
 PENALTY = 3.0
-#: At most so many languages are tried for a document, most likely ones first.
-TRIED = 4
+#: A language that a mixture of all gives no more than this share is not tried for a document's set.
+LEAST_SHARE = 1e-3
 ROUNDS = 8
 #: Characters worked on at once.
 CHUNK = 1_000_000
@@ -156,9 +156,8 @@ def infer(texts: list[str | None], logp: np.ndarray) -> tuple[np.ndarray, np.nda
     flat[rows, best] = 2
     ranked = np.argsort(-flat, axis=1, kind="stable")
     need = PENALTY * np.log(1 + words[here])
-    live = rows
-    for step in range(1, min(TRIED, langs)):
-        live = live[flat[live, ranked[live, step]] > 1e-3]
+    for step in range(1, langs):  # the likelier ones first; one that does not pay leaves the set as it was
+        live = np.flatnonzero(flat[rows, ranked[:, step]] > LEAST_SHARE)
         if not len(live):
             break
         mine = np.isin(of, live) if len(live) < len(here) else slice(None)
