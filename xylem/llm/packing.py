@@ -4,8 +4,8 @@ Documents become token pieces. The driver sees only how many pieces each
 length has (and each of a fixed number of buckets within it), packs the counts
 best-fit decreasing, and gets a plan of runs: "pieces of length n with ranks
 a..b go to sequences s..s+b-a at offset o". Pieces take their slots by joining
-on rank within length. The plan and the bucket starts are bounded by the
-sequence length and the bucket count, not by the data.
+on rank within length. The plan is bounded by the sequence length, the
+bucket starts by it and a row for each half million pieces.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from ..session import key_text, materialise
 
 CAPACITY = 2048
-#: Buckets within a length: ranks are counted within a bucket, so a length that a third of all pieces have spreads over so many groups.
+#: Buckets within a length, at least: ranks are counted within a bucket, so a length that a third of all pieces have spreads over so many groups.
 BUCKETS = 64
+#: Pieces of a bucket, about: a length of more pieces than its buckets should hold gets more buckets.
+BUCKET_ROWS = 500_000
 SPECIAL = "<|endoftext|>"
 
 _encoders: dict = {}
@@ -139,9 +141,10 @@ def best_fit(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     they are equal pieces. An empty table gives an empty result. A null key stays null.
     """
     cut = materialise(pieces(df, tokenizer, key, text, capacity, keep_ids), "pieces")
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")
-    cut = cut.withColumn("_bucket", bucket)
-    histogram = cut.groupBy("length", "_bucket").count().collect()  # at most capacity x buckets rows
+    large = [(r["length"], -(-r["count"] // BUCKET_ROWS)) for r in cut.groupBy("length").count().filter(F.col("count") > buckets * BUCKET_ROWS).collect()]
+    more = F.try_element_at(F.create_map(*[F.lit(x) for pair in large for x in pair]), F.col("length")) if large else F.lit(None)
+    cut = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce(more, F.lit(buckets))).cast("int"))
+    histogram = cut.groupBy("length", "_bucket").count().collect()  # at most capacity x buckets rows, and one for each BUCKET_ROWS pieces
     starts, total = [], defaultdict(int)
     for r in sorted(histogram):
         starts.append((r["length"], r["_bucket"], total[r["length"]]))
