@@ -89,6 +89,31 @@ def test_language_mixture(spark, docs):
     assert "".join(pieces) == long * 40 and max(map(len, pieces)) <= 100 and model
 
 
+def test_language_sets_of_many(spark):
+    """A mixture of five languages keeps all five; a sixth one stays out."""
+    rnd = random.Random(4)
+    names = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    words = lambda i, n: " ".join("".join(rnd.choice("abcdefghijklmnopqr"[3 * i : 3 * i + 3]) for _ in range(rnd.randint(3, 7))) for _ in range(n))
+    known, logp = language.learn(spark.createDataFrame([(words(i, 300), k) for i, k in enumerate(names) for _ in range(3)], "text string, lang string"))
+    shares, _ = language.infer([" ".join(words(i, 80) for i in range(5)), words(5, 50)], logp)
+    assert known == names and all(0.15 < x < 0.25 for x in shares[0][:5]) and shares[0][5] == 0 and shares[1][5] == 1
+
+
+def test_maximise_is_plain_em():
+    rng = np.random.default_rng(6)
+    p, sizes = rng.random((40, 4)), [25, 15]
+    got, log = language.maximise(p, np.array([0, 25]), np.repeat([0, 1], sizes), np.full((2, 4), 0.25))
+    for d, rows in enumerate(np.split(p, [25])):
+        share = [0.25] * 4
+        for _ in range(language.ROUNDS):
+            sums = [0.0] * 4
+            for row in rows:
+                total = sum(s * x for s, x in zip(share, row, strict=True))
+                sums = [a + s * x / total for a, s, x in zip(sums, share, row, strict=True)]
+            share = [a / len(rows) for a in sums]
+        assert np.allclose(got[d], share) and math.isclose(log[d], sum(math.log(sum(s * x for s, x in zip(share, row, strict=True))) for row in rows), rel_tol=1e-9)
+
+
 # -- 3 -------------------------------------------------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -393,6 +418,14 @@ def test_packing_round_trip(spark, docs):
     assert got["sequence_id"].nunique() <= 1.03 * got["length"].sum() / 2048 + 1
 
 
+def test_large_lengths_get_more_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 3)
+    rows = [(i, None) for i in range(200)] + [(1000 + i, "word " * (i % 5 + 1)) for i in range(100)]
+    got = packing.best_fit(frame(spark, rows), tokenizer_path(), capacity=16, buckets=4).toPandas()
+    assert len(got) == 300 and got.groupby("sequence_id")["length"].sum().max() <= 16
+    assert all((own["offset"] == own["length"].cumsum() - own["length"]).all() for _, own in got.sort_values("offset").groupby("sequence_id"))
+
+
 def test_plans():
     for seed in range(150):
         rnd = random.Random(seed)

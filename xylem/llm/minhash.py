@@ -27,6 +27,8 @@ BANDS, ROWS, BITS = 32, 6, 2
 MARGIN = 0.2
 PIVOT_ROUNDS = 2
 TILE = 1500
+#: A set that more documents have finds its representative by a broadcast (there are at most as many such sets as rows, divided by this).
+HOT_COPIES = 500
 #: Keys to remove are broadcast up to this number.
 BROADCAST_ROWS = 500_000
 _N = BANDS * ROWS
@@ -217,8 +219,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             continue
         links = found if links is None else links.union(found)
         labels = components(links)
-    rep = folded.filter("copies > 1").select("digest", "rep")
-    out = signed.select("id", "n", "digest").join(rep, "digest", "left").withColumn("rep", F.coalesce("rep", "id"))
+    rep = materialise(folded.filter("copies > 1"), "copies")
+    hot = broadcast_if_small(materialise(rep.filter(F.col("copies") > HOT_COPIES).select("digest", F.col("rep").alias("hot")), "hot"), BROADCAST_ROWS)
+    out = signed.select("id", "n", "digest").join(hot, "digest", "left")
+    # Whoever has one, or has no set, needs no other row.
+    alone = F.when(F.col("hot").isNull() & F.col("digest").isNotNull(), F.col("digest")).otherwise(F.unhex(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    out = out.withColumn("digest", alone).join(rep.filter(F.col("copies") <= HOT_COPIES).select("digest", "rep"), "digest", "left").withColumn("rep", F.coalesce("hot", "rep", "id")).drop("hot")
     if labels is not None:
         out = out.join(labels.select(F.col("v").alias("rep"), "component"), "rep", "left")
     else:
