@@ -11,7 +11,8 @@ from .operators import bind, events, mutate, nodes as nav, serialize, validate
 from .plans.corpora import catalog_xml, corpus, orders_xml
 from .plans.xpath import XPath
 from .session import prepare, table
-from .sources.xml import decode_bytes, docs_of, errors_of, parse_xml, unix_lines
+from .sources.parser import ParseOptions
+from .sources.xml import decode_bytes, docs_of, errors_of, nodes_of, parse_xml, unix_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -498,3 +499,79 @@ def dom_compact(spark, sf_dir):
 def corpus_catalog(spark, sf_dir):
     prepare(spark)
     return catalog_xml(spark, sf_dir).select("doc_id", F.md5("xml").alias("digest"))
+
+
+# -- limits, declarations and rules over a document for each order -----------------------------------------------------------
+
+
+def _per_order(spark, sf_dir, *cases) -> DataFrame:
+    """(doc_id, xml): the case that the order's key chooses."""
+    xml = F.lit(cases[0])
+    for i, c in enumerate(cases[1:], 1):
+        xml = F.when(F.col("o_orderkey") % len(cases) == i, c).otherwise(xml)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), xml.alias("xml"))
+
+
+@query("""
+SELECT * FROM (SELECT o_orderkey doc_id, 'SecurityLimitExceeded' kind, CASE o_orderkey % 7 WHEN 1 THEN 'Maximum nesting depth of 2 exceeded' WHEN 2 THEN 'Maximum element count of 4 exceeded'
+  WHEN 3 THEN 'Maximum attribute count of 2 exceeded on element <a>' WHEN 4 THEN 'Maximum total attribute count of 3 exceeded' WHEN 5 THEN 'Text node size exceeds maximum of 20 bytes'
+  WHEN 6 THEN 'XML size exceeds maximum of 80 bytes' END message FROM orders) WHERE message IS NOT NULL
+""")
+def limit_errors(spark, sf_dir):
+    limits = ParseOptions(max_xml_size=80, max_nesting_depth=2, max_element_count=4, max_attribute_count=2, max_total_attribute_count=3, max_text_node_size=20)
+    docs = _per_order(spark, sf_dir, "<a/>", "<a><a><a><a/></a></a></a>", "<a><b/><b/><b/><b/></a>", '<a i="1" j="2" k="3"/>', '<a i="1" j="2"><a i="1" j="2"/></a>', f"<a>{'x' * 30}</a>", f"<a><!--{'x' * 80}--></a>")
+    return errors_of(parse_xml(docs, options=limits)).select("doc_id", "kind", "message")
+
+
+@query("SELECT o_orderkey doc_id, CASE WHEN o_orderkey % 10 < 5 THEN 8 * (o_orderkey % 10 + 1) ELSE -1 END::BIGINT AS n_chars FROM orders")
+def ent_bomb(spark, sf_dir):
+    """Text that entities hold counts towards the limit of an expansion (40 bytes here); beyond it there is an error row (-1)."""
+    inner = F.repeat(F.lit("&a;"), (F.col("o_orderkey") % 10 + 1).cast("int"))
+    xml = F.concat(F.lit('<!DOCTYPE s [\n<!ENTITY a "wave">\n<!ENTITY b "'), inner, F.lit('">\n]><s>&b;&b;</s>'))
+    parsed = parse_xml(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), xml.alias("xml")), options=ParseOptions(max_total_entity_expansion_size=40))
+    return parsed.filter("kind in ('element', '#error')").select("doc_id", F.coalesce(F.length("leaf_text"), F.lit(-1)).cast("bigint").alias("n_chars"))
+
+
+@query("""
+SELECT o_orderkey doc_id, 'declaration' kind, 0 parent_id, '1.1' AS value FROM orders UNION ALL SELECT o_orderkey, 'cdata', 3, '<' || o_orderstatus || '&>' FROM orders
+UNION ALL SELECT o_orderkey, 'comment', 1, o_orderkey::VARCHAR FROM orders UNION ALL SELECT o_orderkey, 'pi', 1, 'at ' || o_custkey FROM orders
+""")
+def parse_prolog_epilog(spark, sf_dir):
+    """Declaration, CDATA section, and what follows the root element."""
+    xml = F.concat(F.lit('<?xml version="1.1" encoding="x" standalone="yes"?><r><![CDATA[<'), "o_orderstatus", F.lit("&>]]></r><!--"), F.col("o_orderkey").cast("string"), F.lit("--><?done at "), F.col("o_custkey").cast("string"), F.lit("?>"))
+    parsed = parse_xml(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), xml.alias("xml")))
+    return parsed.filter("kind in ('declaration', 'cdata', 'comment', 'pi')").select("doc_id", "kind", "parent_id", F.coalesce("decl.version", "value").alias("value"))
+
+
+@query("""
+WITH n AS (SELECT o_orderkey doc_id, count(l_orderkey) n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT fn, doc_id, CASE fn WHEN 'true' THEN n WHEN 'false' THEN 0 WHEN 'following' THEN greatest(n - 2, 0) WHEN 'preceding' THEN greatest(n - 1, 0) WHEN 'even' THEN n // 2 WHEN 'ancestor' THEN least(n, 1) WHEN 'parent' THEN n WHEN 'exists' THEN n ELSE 2 * n END::BIGINT AS value
+FROM n, unnest(['true', 'false', 'following', 'preceding', 'even', 'ancestor', 'parent', 'exists', 'self']) f(fn)
+""")
+def xp_order_axes(spark, sf_dir):
+    """Axes, positions and boolean functions over a document for each order."""
+    return _several(XPath(corpus(spark, sf_dir, "orders")), {
+        "true": "count(//line[true()])", "false": "count(//line[false()])", "following": "count(//line[2]/following-sibling::line)", "preceding": "count(//line[last()]/preceding-sibling::line)",
+        "even": "count(//line[position() mod 2 = 0])", "ancestor": "count(//qty/ancestor::order)", "parent": "count(//cents/..)", "exists": "count(//line[qty])", "self": "count(//line/*/self::*)",
+    }, "bigint")
+
+
+@query("""
+SELECT o_orderkey doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'Required attribute ''k'' missing on element <a>' ELSE 'Required attribute ''flag'' missing on element <a>' END message FROM orders WHERE o_orderkey % 3 < 2
+""")
+def dtd_own_subsets(spark, sf_dir):
+    """Rules from internal subsets and from a resolver; ANY and enumerated types are never violated."""
+    docs = _per_order(spark, sf_dir, "<!DOCTYPE a [\n<!ATTLIST a k CDATA #REQUIRED>\n]><a/>", '<!DOCTYPE a SYSTEM "ext.dtd"><a/>', '<!DOCTYPE a [\n<!ELEMENT a ANY>\n<!ATTLIST a k (x|y) #FIXED "x">\n]><a k="z"><b/></a>')
+    found = validate.validate_dtd(nodes_of(parse_xml(docs)), resolver=lambda system, public: "<!ATTLIST a flag CDATA #REQUIRED>" if system == "ext.dtd" else None)
+    return found.select("doc_id", "message")
+
+
+@query("""
+SELECT o_orderkey doc_id, CASE o_orderkey % 3 WHEN 1 THEN 'Element <m> requires at least 1 occurrence(s) of child <q>' ELSE 'Element <m> child <p> exceeds maxOccurs (1)' END message FROM orders WHERE o_orderkey % 3 > 0
+""")
+def xsd_all(spark, sf_dir):
+    """xs:all in any order, once each; a pattern is no violation unless asked for."""
+    part = '<xs:element name="{0}"><xs:simpleType><xs:restriction base="xs:string"><xs:pattern value="[A-Z]+"/></xs:restriction></xs:simpleType></xs:element>'
+    schema = f'<xs:schema xmlns:xs="u"><xs:element name="m"><xs:complexType><xs:all>{part.format("p")}{part.format("q")}</xs:all></xs:complexType></xs:element></xs:schema>'
+    docs = _per_order(spark, sf_dir, "<m><q>low</q><p/></m>", "<m><p/></m>", "<m><p/><p/><q/></m>")
+    return validate.validate_xsd(nodes_of(parse_xml(docs)), schema).select("doc_id", "message")
