@@ -138,8 +138,8 @@ def samples(df: DataFrame, length: int, words: bool = False) -> DataFrame:
             k, x, l, m, h, w = (np.concatenate(p) for p in zip(*out, strict=True))
             return folded([h.view(np.int64), w.view(np.int64)], k, (x << 24) + (l << 12) + m)
 
+        out, have = [], 0
         for b in batches:
-            out, have = [], 0
             for k, t in zip(b["k"], b["t"], strict=True):
                 data = _units(t, words)
                 n = len(data)
@@ -154,8 +154,8 @@ def samples(df: DataFrame, length: int, words: bool = False) -> DataFrame:
                 if have > 200_000:
                     yield frame(out)
                     out, have = [], 0
-            if out:
-                yield frame(out)
+        if out:
+            yield frame(out)
 
     return df.mapInPandas(run, "k long, x long, n0 long, n1 long, others array<long>").withColumnsRenamed({"n0": "h", "n1": "w"})
 
@@ -165,8 +165,8 @@ def through(df: DataFrame, length: int, words: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = lambda out: folded([np.concatenate(p) for p in list(zip(*out, strict=True))[2:]], *(np.concatenate(p) for p in list(zip(*out, strict=True))[:2]))
+        out, have = [], 0
         for b in batches:
-            out, have = [], 0
             for k, t, stand in zip(b["k"], b["t"], b["stand"], strict=True):
                 if stand is None or not len(stand):
                     continue
@@ -185,8 +185,8 @@ def through(df: DataFrame, length: int, words: bool = False) -> DataFrame:
                     if have > 200_000:
                         yield frame(out)
                         out, have = [], 0
-            if out:
-                yield frame(out)
+        if out:
+            yield frame(out)
 
     return df.mapInPandas(run, "k long, x long, n0 long, n1 short, others array<long>").withColumnsRenamed({"n0": "a", "n1": "b"})
 
