@@ -332,7 +332,7 @@ def _mean(b: pd.DataFrame) -> pd.DataFrame:
     for weight, blob in zip(b["n"] / n, b["blob"], strict=True):
         for k, w in pickle.loads(blob).items():
             total[k] = total.get(k, 0) + w.astype(np.float64) * weight
-    return pd.DataFrame({"shard": b["shard"].iloc[:1], "n": [n], "blob": [pickle.dumps({k: w.astype(np.float32) for k, w in total.items()})]})
+    return pd.DataFrame({"shard": [int(b["shard"].iloc[0])], "n": [n], "blob": [pickle.dumps({k: w.astype(np.float32) for k, w in total.items()})]})
 
 
 def train(docs: DataFrame, v: Vocabulary, warm_tokens: int = WARM_TOKENS, shard_tokens: int = SHARD_TOKENS) -> Model:
