@@ -89,22 +89,27 @@ class Model:
 
     def run(self, ids: np.ndarray, h: np.ndarray, end: int, keep: bool = False):
         """Hidden states for inputs (steps, lanes) from state ``h``, which starts anew at each end; with ``keep`` also what training needs."""
-        n, size = ids.shape, self.hidden
-        x = self.x[ids]
-        live = (ids != end)[:, :, None].astype(np.float32)
-        hs = np.empty((*n, size), np.float32)
-        saved = []
-        for t in range(n[0]):
-            h = h * live[t]
-            a = h @ self.u
-            zr = 1 / (1 + np.exp(-(x[t, :, : 2 * size] + a[:, : 2 * size])))
-            z, r = zr[:, :size], zr[:, size:]
-            cand = np.tanh(x[t, :, 2 * size :] + r * a[:, 2 * size :])
-            if keep:
-                saved.append((h, z, r, cand, a[:, 2 * size :]))
-            h = cand + z * (h - cand)
-            hs[t] = h
-        return (hs, h, saved, live) if keep else (hs, h)
+        (steps, lanes), size, kind = ids.shape, self.hidden, self.u.dtype
+        x = self.x[ids]  # a step's inputs turn into its gates and its candidate
+        live = (ids != end)[:, :, None].astype(kind)
+        hs = np.empty((steps, lanes, size), kind)
+        before, a = np.empty((steps if keep else 1, lanes, size), kind), np.empty((steps if keep else 1, lanes, 3 * size), kind)
+        for t in range(steps):
+            b, own = before[t if keep else 0], a[t if keep else 0]
+            np.multiply(h, live[t], out=b)
+            np.matmul(b, self.u, out=own)
+            zr, cand = x[t, :, : 2 * size], x[t, :, 2 * size :]
+            zr += own[:, : 2 * size]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            cand += zr[:, size:] * own[:, 2 * size :]
+            np.tanh(cand, out=cand)
+            h = np.subtract(b, cand, out=hs[t])
+            h *= zr[:, :size]
+            h += cand
+        return (hs, h, (before, a, x), live) if keep else (hs, h)
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of words ``y`` after states ``h``: the class, then the word in its class."""
@@ -112,13 +117,13 @@ class Model:
         scores = h @ self.wc + self.bc
         c = y // size
         out = scores[np.arange(len(y)), c] - _log_sum(scores)
-        order = np.argsort(c, kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(len(self.bc) + 1))
-        for k in range(len(self.bc)):
-            at = order[bounds[k] : bounds[k + 1]]
-            if len(at):
-                s = h[at] @ self.wo[k * size : (k + 1) * size].T + self.bo[k * size : (k + 1) * size]
-                out[at] += s[np.arange(len(at)), y[at] - k * size] - _log_sum(s)
+        order, bounds = _by_class(c, len(self.bc))
+        h, y = h[order], y[order]
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            part = slice(k * size, (k + 1) * size)
+            b, e = bounds[k], bounds[k + 1]
+            s = h[b:e] @ self.wo[part].T + self.bo[part]
+            out[order[b:e]] += s[np.arange(e - b), y[b:e] - k * size] - _log_sum(s)
         return out
 
 
@@ -131,6 +136,21 @@ def _log_sum(s: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(s - top) @ np.ones(s.shape[1], s.dtype))
 
 
+def _by_class(c: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places sorted by class, and where each class begins there."""
+    order = np.argsort(c.astype(np.min_scalar_type(classes)), kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(c, minlength=classes))])
+
+
+def _shares(s: np.ndarray, scale: float) -> np.ndarray:
+    """The softmax of each row times ``scale``, in place; by the row's own maximum where the values spread too far for one of all."""
+    top = s.max()
+    s -= s.max(axis=1, keepdims=True) if top - s.min() > 60 else top
+    np.exp(s, out=s)
+    s *= (scale / (s @ np.ones(s.shape[1], s.dtype)))[:, None]
+    return s
+
+
 def _places(lookup: dict[bytes, int], own: list[bytes]) -> np.ndarray:
     """The place of each word in the head, -1 outside."""
     return np.array(list(map(lookup.get, own, repeat(-1))), np.int64)
@@ -146,58 +166,68 @@ class Trainer:
 
     def _step(self, name: str, grad: np.ndarray, rows=slice(None)) -> None:
         w, s = getattr(self.m, name), self.sums[name]
-        s[rows] += grad * grad
-        w[rows] -= self.rate * grad / np.sqrt(s[rows])
+        total = s[rows] + grad * grad
+        s[rows] = total
+        np.sqrt(total, out=total)
+        np.divide(grad, total, out=total)
+        total *= self.rate
+        w[rows] -= total
 
     def window(self, ids: np.ndarray, y: np.ndarray, h: np.ndarray, full: int = 0) -> np.ndarray:
         """Learn from one window (steps, lanes); the state goes on, gradients stop at its start. One of fewer than ``full`` words counts for as much less."""
         m, size = self.m, self.m.hidden
-        hs, last, saved, live = m.run(ids, h, self.end, keep=True)
+        hs, last, (before, a, x), live = m.run(ids, h, self.end, keep=True)
         flat, yf = hs.reshape(-1, size), y.ravel()
         n = len(yf)
-        of = max(n, full)
-        per = len(m.bo) // len(m.bc)
+        every, scale = np.arange(n), 16 / max(n, full)
+        classes, per = len(m.bc), len(m.bo) // len(m.bc)
         c = yf // per
-        s = flat @ m.wc + m.bc
-        p = np.exp(s - s.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), c] -= 1
-        p /= of / 16
+        p = _shares(flat @ m.wc + m.bc, scale)
+        p[every, c] -= scale
         dh = p @ m.wc.T
         gwc, gbc = flat.T @ p, p.sum(axis=0)
-        order = np.argsort(c, kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(len(m.bc) + 1))
-        for k in range(len(m.bc)):
-            at = order[bounds[k] : bounds[k + 1]]
-            if len(at):
-                part = slice(k * per, (k + 1) * per)
-                s = flat[at] @ m.wo[part].T + m.bo[part]
-                q = np.exp(s - s.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(at)), yf[at] - k * per] -= 1
-                q /= of / 16
-                dh[at] += q @ m.wo[part]
-                self._step("wo", q.T @ flat[at], part)
-                self._step("bo", q.sum(axis=0), part)
+        # Words in the order of their classes: each class is one block of rows.
+        order, bounds = _by_class(c, classes)
+        f = flat[order]
+        q, d = np.empty((n, per), hs.dtype), np.empty_like(f)
+        gwo, gbo = np.zeros_like(m.wo), np.zeros_like(m.bo)
+        own = [(slice(bounds[k], bounds[k + 1]), slice(k * per, (k + 1) * per)) for k in np.flatnonzero(np.diff(bounds)).tolist()]
+        for at, part in own:
+            np.matmul(f[at], m.wo[part].T, out=q[at])
+            q[at] += m.bo[part]
+        q = _shares(q, scale)
+        q[every, (yf - c * per)[order]] -= scale
+        for at, part in own:
+            np.matmul(q[at], m.wo[part], out=d[at])
+            np.matmul(q[at].T, f[at], out=gwo[part])
+            q[at].sum(axis=0, out=gbo[part])
+        dh[order] += d
         dh = dh.reshape(hs.shape)
-        dx = np.empty((*ids.shape, 3 * size), np.float32)
-        gu, after = np.zeros_like(m.u), np.zeros_like(h)
+        # What does not depend on later steps is computed for all steps at once.
+        z, r, cand = x[:, :, :size], x[:, :, size : 2 * size], x[:, :, 2 * size :]
+        to_cand, to_z, to_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), a[:, :, 2 * size :] * r * (1 - r)
+        da, dx = np.empty_like(x), np.empty_like(x)
+        after, back = np.zeros_like(before[0]), np.ascontiguousarray(m.u.T)
         for t in range(len(ids) - 1, -1, -1):
-            before, z, r, cand, a = saved[t]
-            d = dh[t] + after
-            dn = d * (1 - z) * (1 - cand * cand)
-            dz = d * (before - cand) * z * (1 - z)
-            dr = dn * a * r * (1 - r)
-            da = np.concatenate([dz, dr, dn * r], axis=1)
-            dx[t, :, : 2 * size], dx[t, :, 2 * size :] = da[:, : 2 * size], dn
-            gu += before.T @ da
-            after = (d * z + da @ m.u.T) * live[t]
+            g = dh[t]
+            g += after
+            dn = np.multiply(g, to_cand[t], out=dx[t, :, 2 * size :])
+            np.multiply(g, to_z[t], out=da[t, :, :size])
+            np.multiply(dn, to_r[t], out=da[t, :, size : 2 * size])
+            np.multiply(dn, r[t], out=da[t, :, 2 * size :])
+            np.matmul(da[t], back, out=after)
+            g *= z[t]
+            after += g
+            after *= live[t]
+        dx[:, :, : 2 * size] = da[:, :, : 2 * size]
+        gu = before.reshape(-1, size).T @ da.reshape(-1, 3 * size)
         ids_f = ids.ravel()
-        order = np.argsort(ids_f, kind="stable")
-        rows, first = np.unique(ids_f[order], return_index=True)
-        self._step("x", np.add.reduceat(dx.reshape(-1, 3 * size)[order], first, axis=0), rows)
-        for name, g in (("u", gu), ("wc", gwc), ("bc", gbc)):
-            self._step(name, g)
+        order = np.argsort(ids_f.astype(np.min_scalar_type(len(m.x))), kind="stable")
+        rows = ids_f[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        self._step("x", np.add.reduceat(dx.reshape(-1, 3 * size)[order], first, axis=0), rows[first])
+        for name, grad in (("u", gu), ("wc", gwc), ("bc", gbc), ("wo", gwo), ("bo", gbo)):
+            self._step(name, grad)
         self.seen += n
         return last
 
