@@ -249,6 +249,25 @@ def test_training_does_not_depend_on_the_partitioning(spark):
     assert not np.array_equal(one.wo, lm.Model.start(v.freq).wo)
 
 
+def test_mean_of_copies_in_any_order():
+    m = lm.Model.start(np.arange(16, 0, -1.0), hidden=4, classes=4)
+    t = lm.Trainer(m, 7)
+    t.seen = 3
+    copies = pd.concat([lm._packed(k, t) for k in (2, 1, 0)], ignore_index=True)
+    mean = lm._mean(copies)
+    assert mean["shard"].tolist() == [0] and mean["n"].tolist() == [9] and mean.index.tolist() == [0]
+    assert np.allclose(lm.pickle.loads(mean["blob"][0])["u"], m.u)
+
+
+def test_scores_do_not_depend_on_how_many_words_are_gathered(spark, monkeypatch):
+    docs = frame(spark, [(i, " ".join(f"w{(i * j) % 50}" for j in range(1 + i % 90))) for i in range(300)]).coalesce(1)
+    whole = lm.score(docs).orderBy("doc_id").toPandas()
+    monkeypatch.setattr(lm, "SCORE_TOKENS", 500)
+    parts = lm.score(docs).orderBy("doc_id").toPandas()
+    assert whole["doc_id"].tolist() == parts["doc_id"].tolist() == list(range(300))
+    assert np.allclose(whole["score"], parts["score"], rtol=1e-4)
+
+
 @pytest.mark.parametrize("sizes", [[5], [40] * 7, [3, 9_000, 50, 1], [60] * 100])
 def test_training_empties_its_lanes(sizes):
     m = lm.Model.start(np.arange(16, 0, -1.0), hidden=4, classes=4)

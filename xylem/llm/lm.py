@@ -34,6 +34,8 @@ LANES, WINDOW, RATE = 128, 32, 0.2
 #: Words of one shard of the distributed training, and copies that are averaged at once.
 SHARD_TOKENS, FAN_IN = 4_000_000, 32
 SCORE_LANES, SCORE_WINDOW = 256, 128
+#: Words that a scoring task gathers before it lays them into lanes: the more, the fewer lanes stand empty beside a long document.
+SCORE_TOKENS = 2_000_000
 #: Distinct words that a counting task holds before it passes them on.
 COUNTED = 400_000
 END = b""
@@ -278,7 +280,7 @@ def lane_scores(model: Model, texts: list[np.ndarray], end: int, lanes: int = SC
         heapq.heappush(heap, (n + len(texts[i]), k))
     mine.sort(key=lambda own: -sum(len(texts[i]) for i in own))
     flat = [np.concatenate([texts[i] for i in own]) for own in mine]
-    of = [np.repeat(own, [len(texts[i]) for i in own]) for own in mine]
+    of = [np.repeat(np.array(own, np.int32), [len(texts[i]) for i in own]) for own in mine]
     sizes = np.array([len(f) for f in flat])
     h, prev = np.zeros((lanes, model.hidden), np.float32), np.full(lanes, end)
     for at in range(0, int(sizes[0]), window):
@@ -446,8 +448,18 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int =
         ids = np.append(v.ids, v.unknown)
         end = places.get(END, -1)
         outside = ids == v.unknown
+
+        def emit(frames: list[pd.DataFrame], seqs: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+            got = lane_scores(model, seqs, v.end) / math.log(10)
+            at = 0
+            for frame in frames:
+                frame["score"] += got[at : at + len(frame)]
+                at += len(frame)
+                yield frame
+
+        frames, seqs, have = [], [], 0
         for b in batches:
-            out, seqs = [], []
+            out = []
             for k, t, held_out in zip(b["key"], b["text"], b["held_out"], strict=True):
                 own = words(t)
                 at = _places(places, own)
@@ -460,12 +472,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int =
                 ids_ = np.where(at >= 0, ids[at], v.unknown)
                 ids_[-1] = v.end
                 share = counted[at][known & outside[at]].sum() - (outside[at][:-1].sum()) * all_rest
-                seqs.append(ids_)
+                seqs.append(ids_.astype(np.int32))
+                have += len(ids_)
                 out.append([k, held_out, len(at), int(known.sum()), base, share, len(rest), rest])
-            got = lane_scores(model, seqs, v.end) / math.log(10)
-            frame = pd.DataFrame(out, columns=["key", "held_out", "n_tokens", "n_known", "base", "score", "n_rest", "rest"])
-            frame["score"] += got
-            yield frame
+            frames.append(pd.DataFrame(out, columns=["key", "held_out", "n_tokens", "n_known", "base", "score", "n_rest", "rest"]))
+            if have >= SCORE_TOKENS:
+                yield from emit(frames, seqs)
+                frames, seqs, have = [], [], 0
+        yield from emit(frames, seqs)
 
     scored = materialise(rows.withColumn("key", F.col("key").cast("string")).mapInPandas(run, SCORED).withColumn("key", F.col("key").cast("long")).withColumn("row", F.monotonically_increasing_id()), "scored")
     # A row's words outside the head, each once with its number, meet their counts.
