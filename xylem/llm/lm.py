@@ -32,7 +32,7 @@ HEAD = 150_000
 WARM_TOKENS = 400_000
 LANES, WINDOW, RATE = 128, 32, 0.2
 #: Words of one shard of the distributed training, and copies that are averaged at once.
-SHARD_TOKENS, FAN_IN = 4_000_000, 32
+SHARD_TOKENS, FAN_IN = 4_000_000, 8
 SCORE_LANES, SCORE_WINDOW = 256, 128
 #: Words that a scoring task gathers before it lays them into lanes: the more, the fewer lanes stand empty beside a long document.
 SCORE_TOKENS = 2_000_000
