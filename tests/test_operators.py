@@ -1,10 +1,12 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from xylem.operators import bind, events, mutate, nodes as nav, serialize
 from xylem.operators.serialize import SerializeOptions
 from xylem.operators.validate import Dtd, apply_dtd_defaults, dtd_violations, first_violations, valid_documents, validate, validate_dtd, validate_xsd
-from xylem.sources.xml import errors_of, nodes_of
+from xylem.sources.xml import errors_of, nodes_of, parse_xml
 from xylem.streaming.xml_stream import event_stream, node_stream, register_udtf, xml_file_stream
 
 from .helpers import docs, nodes
@@ -145,6 +147,30 @@ def test_binding(spark):
     assert bind.to_xml_record(d).first()["xml"] == "<root><id>1</id><s>a&lt;&apos;b</s><l><item>1</item><item>2</item></l><m><k>1.5</k></m><n></n></root>"
 
 
+def test_binding_of_fields(spark):
+    """Attributes before elements, the first of several elements, elements without text, fields of no element, records within records."""
+    n = nodes_of(parse_xml(docs(spark, "<r b='x'><a>1</a><a>2</a><b>y</b><c/><p><a>3</a><q><a>4</a></q></p></r>", "<r><a>z</a></r>")))
+    got = {r["doc_id"]: r["record"].asDict(True) for r in bind.from_nodes(n, "a int, b string, c string, d string, p struct<a:int,q:struct<a:int,c:string>>").collect()}
+    assert got[0] == {"a": 1, "b": "x", "c": "", "d": None, "p": {"a": 3, "q": {"a": 4, "c": None}}}
+    assert got[1] == {"a": None, "b": None, "c": None, "d": None, "p": None}
+
+
+def broadcast_keys(df):
+    """The keys of the joins that the planner broadcasts, and whether it is their left side that is."""
+    return set(re.findall(r"BroadcastHashJoin \[([^\]]*)\].*?Build(Left|Right)", re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())))
+
+
+@pytest.fixture
+def lazy(spark, tmp_path):
+    """Parsed documents of a file, so that their nodes look small to the planner."""
+    docs(spark, "<!DOCTYPE a [\n<!ATTLIST a k CDATA #REQUIRED>\n]><a><b>1</b><c><d>2</d></c></a>").write.parquet(f"file://{tmp_path}/docs")
+    return nodes_of(parse_xml(spark.read.parquet(f"file://{tmp_path}/docs")))
+
+
+def test_nodes_are_not_broadcast_in_binding(spark, lazy):
+    assert broadcast_keys(bind.from_nodes(lazy, "b int, c array<string>, m map<string,int>, s struct<b:int,c:array<int>>")) == set()
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.xml").write_text("<a><b>1</b></a>")

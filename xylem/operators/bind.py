@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import never_broadcast
 from . import nodes as nav
 
 
@@ -24,6 +25,7 @@ def scalar(text: Column, kind: T.DataType) -> Column:
 
 class _Binder:
     def __init__(self, nodes: DataFrame):
+        nodes = never_broadcast(nodes)
         self.elements = nodes.filter("kind = 'element' and pre is not null").select("doc_id", "node_id", "parent_id", "ord", "name", "attrs")
         self.texts = nodes.filter("kind = 'text' and parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("ord", "value")))["value"], "").alias("_t"))
 
@@ -35,30 +37,36 @@ class _Binder:
             kids = self.elements.join(at.select("doc_id", F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"]).select("doc_id", "node_id", "parent_id", "ord")
             inner = self.values(kids, kind.elementType, "_item")
             rows = inner.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("ord", "_item")))["_item"].alias(out))
-            return at.join(rows, ["doc_id", "node_id"], "left").withColumn(out, F.coalesce(out, F.array().cast(kind)))
+            return at.join(never_broadcast(rows), ["doc_id", "node_id"], "left").withColumn(out, F.coalesce(out, F.array().cast(kind)))
         if isinstance(kind, T.MapType):
             kids = self.elements.join(at.select("doc_id", F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"]).select("doc_id", "node_id", "parent_id", "ord", "name")
             inner = self.values(kids, kind.valueType, "_item")
             last = inner.groupBy("doc_id", "parent_id", "name").agg(F.max_by("_item", "ord").alias("_item"))
             rows = last.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("name"), F.col("_item")))).alias(out))
-            return at.join(rows, ["doc_id", "node_id"], "left")
+            return at.join(never_broadcast(rows), ["doc_id", "node_id"], "left")
         return at.join(self.texts, ["doc_id", "node_id"], "left").withColumn(out, scalar(F.coalesce("_t", F.lit("")), kind)).drop("_t")
 
     def struct(self, at: DataFrame, kind: T.StructType, out: str) -> DataFrame:
         """Fields: an attribute of that name, else the first child element of that name."""
         own = self.elements.select("doc_id", "node_id", F.col("attrs").alias("_attrs"))
         rows = at.join(own, ["doc_id", "node_id"])
+        plain = [(f"{out}_{i}", f) for i, f in enumerate(kind) if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
+        if plain:  # the texts of all scalar fields in one pass
+            kids = self.elements.filter(F.col("name").isin([f.name for _, f in plain])).join(at.select("doc_id", F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"])
+            kids = kids.select("doc_id", "node_id", "parent_id", "ord", "name").join(self.texts, ["doc_id", "node_id"], "left")
+            first = [F.min_by(F.when(F.col("name") == f.name, F.coalesce("_t", F.lit(""))), F.when(F.col("name") == f.name, F.col("ord"))).alias(name) for name, f in plain]
+            rows = rows.join(never_broadcast(kids.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(*first)), ["doc_id", "node_id"], "left")
         made = []
         for i, f in enumerate(kind):
             name = f"{out}_{i}"
+            if (name, f) in plain:
+                made.append(F.coalesce(scalar(nav.attribute(F.col("_attrs"), f.name), f.dataType), scalar(F.col(name), f.dataType)).alias(f.name))
+                continue
             kids = self.elements.filter(F.col("name") == f.name).join(at.select("doc_id", F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"])
             kids = kids.groupBy("doc_id", "parent_id").agg(F.min_by("node_id", "ord").alias("node_id"))
             found = self.values(kids, f.dataType, name).select("doc_id", F.col("parent_id").alias("node_id"), name)
-            rows = rows.join(found, ["doc_id", "node_id"], "left")
-            value = F.col(name)
-            if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
-                value = F.coalesce(scalar(nav.attribute(F.col("_attrs"), f.name), f.dataType), value)
-            made.append(value.alias(f.name))
+            rows = rows.join(never_broadcast(found), ["doc_id", "node_id"], "left")
+            made.append(F.col(name).alias(f.name))
         return rows.withColumn(out, F.struct(*made)).select(*at.columns, out)
 
 

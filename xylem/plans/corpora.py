@@ -84,9 +84,14 @@ def rules_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 MAKERS = {"orders": orders_xml, "catalog": catalog_xml, "geo": geo_xml, "rules": rules_xml}
 
 
+def saved(docs: DataFrame) -> DataFrame:
+    """The nodes of documents, parsed and written once."""
+    return save_nodes(nodes_of(parse_xml(docs)), docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The nodes of a corpus, parsed once in a session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _parsed:
-        _parsed[key] = save_nodes(nodes_of(parse_xml(MAKERS[name](spark, sf_dir))), spark.sparkContext.defaultParallelism)
+        _parsed[key] = saved(MAKERS[name](spark, sf_dir))
     return _parsed[key]

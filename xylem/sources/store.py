@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from ..session import shared_dir
+from ..session import never_broadcast, shared_dir
 
 
 def save_nodes(nodes: DataFrame, buckets: int, table: str | None = None, path: str | None = None) -> DataFrame:
@@ -24,4 +24,4 @@ def save_nodes(nodes: DataFrame, buckets: int, table: str | None = None, path: s
     table = table or f"nodes_{uuid.uuid4().hex}"
     path = path or f"{shared_dir(spark)}/tables/{table}"
     nodes.repartition(buckets, "doc_id").write.format("parquet").bucketBy(buckets, "doc_id").sortBy("doc_id", "pre").option("path", path).mode("overwrite").saveAsTable(table)
-    return spark.table(table)
+    return never_broadcast(spark.table(table))

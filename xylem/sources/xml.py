@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import never_broadcast, prepare
 from .parser import ParseOptions, Parser, XmlProblem, position
 from .plain import plain_nodes, slices
 
@@ -83,6 +83,7 @@ def parse_xml(df: DataFrame, xml: str = "xml", doc_id: str = "doc_id", options:
     """The node table of the documents: a row for each node, or one ``#error`` row for a document that can't be parsed.
 
     A null document has an error row, too. Other columns of ``df`` are not kept. ``leaf_text`` is the text of elements without child elements.
+    Joins of the nodes are never broadcast by the planner's estimate (see ``session.never_broadcast``).
     """
     kind = df.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, {NODES}"
@@ -112,7 +113,8 @@ def parse_xml(df: DataFrame, xml: str = "xml", doc_id: str = "doc_id", options:
                 yield rows.batch()
 
     prepare(df.sparkSession)
-    return df.select(F.col(doc_id).alias("doc_id"), unix_lines(F.col(xml).cast("string")).alias("xml")).mapInArrow(run, schema)
+    texts = df.select(F.col(doc_id).alias("doc_id"), unix_lines(F.col(xml).cast("string")).alias("xml"))
+    return never_broadcast(texts.mapInArrow(run, schema))
 
 
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
