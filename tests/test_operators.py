@@ -171,6 +171,13 @@ def test_nodes_are_not_broadcast_in_binding(spark, lazy):
     assert broadcast_keys(bind.from_nodes(lazy, "b int, c array<string>, m map<string,int>, s struct<b:int,c:array<int>>")) == set()
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_nodes_are_not_broadcast_in_dtd_checks(spark, lazy, strict):
+    rules = Dtd().load("<!ELEMENT a (b, c)>\n<!ELEMENT b EMPTY>\n<!ATTLIST a k ID #REQUIRED>\n<!ATTLIST b to IDREF #IMPLIED>")
+    found = dtd_violations(lazy, rules, strict)
+    assert broadcast_keys(found) == {("name", "Right")}
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.xml").write_text("<a><b>1</b></a>")

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import never_broadcast, prepare
 from ..sources.parser import Parser
 
 VIOLATION = ["doc_id", "node_id", "phase", "pre", "rule", "message"]
@@ -126,6 +126,7 @@ class Dtd:
 
 def _dtd_checks(nodes: DataFrame, rules: DataFrame, strict: bool) -> DataFrame:
     """Violations of the nodes, which carry the key of their document type in ``_dtd``, against the rules (``RULES``): one join for each kind of rule."""
+    nodes = never_broadcast(nodes)
     elements = nodes.filter((F.col("kind") == "element") & F.col("pre").isNotNull())
     of = lambda what: elements.join(rules.filter(F.col("what") == what).withColumnsRenamed({"dtd": "_dtd"}).drop("what"), ["_dtd", "name"])
     full = nodes.filter("kind in ('element', 'text')").select("doc_id", F.col("parent_id").alias("node_id"))
@@ -147,7 +148,7 @@ def _dtd_checks(nodes: DataFrame, rules: DataFrame, strict: bool) -> DataFrame:
     again = ids.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "v").orderBy("pre", "rule_no"))).filter("n > 1")
     out.append(_violation(again, 0, "ID", F.concat(F.lit("Duplicate ID value '"), "v", F.lit("' in element <"), "name", F.lit(">"))))
     refs = typed.filter("type <> 'ID'").withColumn("v", F.explode(F.when(F.col("type") == "IDREFS", F.filter(F.split("v", r"(?U)\s+"), lambda x: x != "")).otherwise(F.array("v"))))
-    out.append(_violation(refs.join(ids.select("doc_id", "v"), ["doc_id", "v"], "left_anti"), 2, "IDREF", F.concat(F.lit("IDREF '"), "v", F.lit("' in attribute '"), "child", F.lit("' of <"), "name", F.lit("> does not match any declared ID"))))
+    out.append(_violation(refs.join(never_broadcast(ids.select("doc_id", "v")), ["doc_id", "v"], "left_anti"), 2, "IDREF", F.concat(F.lit("IDREF '"), "v", F.lit("' in attribute '"), "child", F.lit("' of <"), "name", F.lit("> does not match any declared ID"))))
     return _union(nodes.sparkSession, out)
 
 
