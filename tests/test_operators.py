@@ -179,6 +179,15 @@ def test_nodes_are_not_broadcast_in_dtd_checks(spark, lazy, strict):
     assert broadcast_keys(first_violations(found)) == {("name", "Right")}
 
 
+def test_nodes_are_not_broadcast_in_own_subsets(spark, lazy, monkeypatch):
+    want = [(0, "Required attribute 'k' missing on element <a>")]
+    found = validate_dtd(lazy)
+    assert broadcast_keys(found) == {("_dtd, name", "Right")} and [(r["doc_id"], r["message"]) for r in found.collect()] == want
+    monkeypatch.setattr("xylem.operators.validate.HELD_RULES", 0)  # more rules than are held
+    found = validate_dtd(lazy)
+    assert broadcast_keys(found) == set() and [(r["doc_id"], r["message"]) for r in found.collect()] == want
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.xml").write_text("<a><b>1</b></a>")

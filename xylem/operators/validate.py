@@ -12,11 +12,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import never_broadcast, prepare
+from ..session import broadcast_if_small, materialise, never_broadcast, prepare
 from ..sources.parser import Parser
 
 VIOLATION = ["doc_id", "node_id", "phase", "pre", "rule", "message"]
 MAX_DEPTH = 512
+#: Rows of rules that executors and the driver hold, at most; more are joined by a shuffle.
+HELD_RULES = 10_000
 
 
 def _violation(rows: DataFrame, phase: int, rule: str, message) -> DataFrame:
@@ -164,8 +166,8 @@ def dtd_violations(nodes: DataFrame, dtd: Dtd, strict: bool = False) -> DataFram
 def validate_dtd(nodes: DataFrame, dtd: Dtd | None = None, resolver: Callable[[str, str | None], str | None] | None = None, strict: bool = False, one_line: bool = True) -> DataFrame:
     """Violations against loaded rules, the external subset that ``resolver`` (system id, public id) gives, and each document's own internal subset.
 
-    Documents are told apart by a hash of their document type. The different types become rows of rules where they stand, and are joined once,
-    however many there are; the driver sees none of them. A resolver that raises leaves its documents with the loaded rules and their internal subset.
+    Documents are told apart by a hash of their document type. The different types become rows of rules where they stand, are written once and joined,
+    however many there are; up to ``HELD_RULES`` rows are broadcast, the driver sees none of more. A resolver that raises leaves its documents with the loaded rules and their internal subset.
     """
     prepare(nodes.sparkSession)
     base = dtd or Dtd()
@@ -189,7 +191,8 @@ def validate_dtd(nodes: DataFrame, dtd: Dtd | None = None, resolver: Callable[[s
 
     kinds = own.groupBy("_dtd").agg(F.first("t").alias("t")).select("_dtd", "t.public_id", "t.system_id", "t.internal_subset")
     rules = nodes.sparkSession.createDataFrame(base.rows(), RULES).unionByName(kinds.mapInPandas(parsed, RULES))
-    keyed = nodes.join(own.select("doc_id", "_dtd"), "doc_id", "left").withColumn("_dtd", F.coalesce("_dtd", F.lit(0).cast("long")))
+    rules = broadcast_if_small(materialise(rules, "rules"), HELD_RULES)
+    keyed = never_broadcast(nodes).join(never_broadcast(own.select("doc_id", "_dtd")), "doc_id", "left").withColumn("_dtd", F.coalesce("_dtd", F.lit(0).cast("long")))
     return _dtd_checks(keyed, rules, strict)
 
 
