@@ -301,7 +301,7 @@ def xsd_violations(nodes: DataFrame, xsd: Xsd, strict: bool = False) -> DataFram
 
     ``strict`` also checks the order in a sequence, how often a choice is taken, and patterns.
     """
-    spark = nodes.sparkSession
+    spark, nodes = nodes.sparkSession, never_broadcast(nodes)
     elements = nodes.filter((F.col("kind") == "element") & F.col("pre").isNotNull())
     out = [_too_deep(elements)]
     attrs, kids, comps, simple = [], [], [], []
