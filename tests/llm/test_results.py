@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -412,6 +413,50 @@ def test_repeated_passages(spark):
     assert got.filter("doc_id in (11, 15)").agg({"n_removed": "sum"}).first()[0] == 0
 
 
+class Captured:
+    """A table that hands the batches of a Python step to the test."""
+
+    def __init__(self, **columns):
+        self.batch = pa.RecordBatch.from_pydict(columns)
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.out = list(run([self.batch]))
+        return self
+
+    def withColumnsRenamed(self, names):
+        return self
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_samples_of_many_texts_at_once(words, monkeypatch):
+    """Texts are sampled together, not one by one: what is hashed anew for each text was most of the step's time. Alone they give the same."""
+    rnd = random.Random(4)
+    texts = ["", " ", *(" ".join(rnd.choice(["é", "und", "x\ty", "wort", "\n"]) for _ in range(rnd.randint(0, 300))) for _ in range(100)), ""]
+    made = []
+    monkeypatch.setattr(repeats, "Prefixes", lambda *a, real=repeats.Prefixes: made.append(1) or real(*a))
+
+    def rows(keys, own):
+        return [(r["k"], r["x"], r["n0"], r["n1"]) for b in repeats.samples(Captured(k=pa.array(keys, pa.int64()), t=own), 51 if words else 100, words).out for r in b.to_pylist() if r["others"] is None]
+
+    together = rows(list(range(len(texts))), texts)
+    assert len(made) < 10 and len(together) > 100
+    alone = {x for k, t in enumerate(texts) for x in rows([k], [t])}
+    assert {*together} <= alone
+
+
+def test_words_of_texts_laid_together():
+    texts = ["", "a b", "b", " a\x0b", "", "a\u00a0b", "b\n", "a"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    hashes, first = repeats.word_units(data, np.append(0, np.cumsum([len(t.encode()) for t in texts])))
+    parts = [t.encode().split() for t in texts]
+    assert np.diff(first).tolist() == [len(p) for p in parts]
+    flat = [w for p in parts for w in p]
+    assert all((hashes[i] == hashes[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
+
+
 def test_difference_covers():
     for q in (2, 3, 5, 7, 11):
         v, d = repeats.difference_cover(q)

@@ -56,12 +56,8 @@ class Prefixes:
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.sums[b] - self.sums[a]) * self.down[a] + np.uint64(0x9E3779B97F4A7C15) * (b - a).astype(np.uint64))
 
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word, split at ASCII white space."""
-    parts = (text or "").encode("utf-8", "surrogatepass").split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-    ends = np.cumsum(lengths) - 1
-    return Prefixes(np.frombuffer(b" ".join(parts), np.uint8))(ends - lengths + 1, ends)
+    def runs(self, size: int) -> np.ndarray:
+        """A hash of each substring of ``size``, by its start; the high bits are those to use."""
+        out = self.sums[size:] - self.sums[:-size]
+        out *= self.down[: len(out)]
+        return out

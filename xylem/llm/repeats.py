@@ -24,11 +24,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .hashing import Prefixes, word_hashes
+from .hashing import Prefixes
 
 LENGTH = 400
 #: Words of a passage that counts as repeated, whatever its bytes.
@@ -74,43 +75,99 @@ class Cover:
         self.span = self.context + self.wait + self.v
         self.need = length - self.span + 1
 
-    def samples(self, data: np.ndarray, name: Prefixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(positions x, distances l and m): strings that start in [x - l, x - m] meet at x."""
-        n, c = len(data), self.context
-        at = np.arange(c, n + 1)
-        edges = at[name(at - c, at) < np.uint64(2**64 // self.mean)]
-        before = np.concatenate([[0], edges[:-1]]) if len(edges) else edges
-        x, last, near = [edges], [before], [np.full(len(edges), c)]
-        starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [n]])
-        for s, e in zip(starts[ends - starts > self.wait].tolist(), ends[ends - starts > self.wait].tolist(), strict=True):
-            t = (np.arange(self.wait // self.v * self.v, e - s, self.v)[:, None] + self.steps).ravel()
-            t = s + t[(t >= self.wait) & (t < e - s)]
-            x.append(t)
-            last.append(np.full(len(t), s))
-            near.append(np.full(len(t), c + self.wait))
-        x, last, m = np.concatenate(x), np.concatenate(last), np.concatenate(near)
-        l = np.minimum(np.minimum(x - last + c - 1, self.span - 1), x)
-        keep = (l >= m) & (x - l + self.length <= n) & (x + self.need <= n)
-        return x[keep], l[keep], m[keep]
+    def samples(self, first: np.ndarray, name: Prefixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(texts i, positions x, distances l and m) for texts laid one after another, where text i has first[i] to first[i + 1]: strings of it that start in [x - l, x - m] meet at x."""
+        c, n = self.context, int(first[-1])
+        edges = np.flatnonzero(name.runs(c)[:-1] < np.uint64(2**64 // self.mean)) + c if n > c else np.zeros(0, np.int64)
+        of = np.searchsorted(first, edges, "right") - 1
+        edges, of = edges[edges - first[of] >= c], of[edges - first[of] >= c]
+        before = np.maximum(np.append(0, edges[:-1]), first[of]) if len(edges) else edges
+        # Where no boundary comes for a while: the cover from there, for all such places at once.
+        starts = np.sort(np.concatenate([first[:-1], edges]))
+        sizes = np.diff(np.append(starts, n))
+        starts, sizes = starts[sizes > self.wait], sizes[sizes > self.wait]
+        steps = (np.arange(self.wait // self.v * self.v, sizes.max(initial=0), self.v)[:, None] + self.steps).ravel()
+        steps = steps[steps >= self.wait]
+        many = np.searchsorted(steps, sizes)
+        last = np.repeat(starts, many)
+        t = last + steps[np.arange(len(last)) - np.repeat(np.cumsum(many) - many, many)]
+        x, last = np.concatenate([edges, t]), np.concatenate([before, last])
+        m = np.concatenate([np.full(len(edges), c), np.full(len(t), c + self.wait)])
+        of = np.concatenate([of, np.searchsorted(first, t, "right") - 1])
+        begin, end = first[of], first[of + 1]
+        l = np.minimum(np.minimum(x - last + c - 1, self.span - 1), x - begin)
+        keep = (l >= m) & (x - l + self.length <= end) & (x + self.need <= end)
+        return of[keep], (x - begin)[keep], l[keep], m[keep]
 
 
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def folded(names: list[np.ndarray], k: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+#: Bytes of texts that are laid one after another, at most, unless one text has more: arrays of as many numbers stay in a core's cache.
+TOGETHER = 1 << 16
+#: Rows that go to Spark together.
+ROWS = 200_000
+FOLDED = "k long, x long, n0 long, n1 {}, others array<long>"
+SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+
+
+def laid(keys: pa.Array, texts: pa.Array, words: bool) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, keys, units, first) for some texts of a column at a time: their bytes (or words) one after another, text i of them from first[i] to first[i + 1].
+
+    The bytes are those of the Arrow column. A null text has none.
+    """
+    texts = texts.cast(pa.large_string())
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    keys, i = keys.to_numpy(zero_copy_only=False), 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + TOGETHER, "right")) - 1)
+        own, first = data[at[i] : at[j]], at[i : j + 1] - at[i]
+        yield slice(i, j), keys[i:j], *(word_units(own, first) if words else (own, first))
+        i = j
+
+
+def word_units(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (split at ASCII white space) of texts that are laid one after another, and the place of each text's first word."""
+    gap = np.append(SPACE[data], True)
+    head = ~gap[:-1]  # a word begins after white space or with its text, and ends at white space or with its text
+    head[1:] &= gap[:-2]
+    inside = first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(data))]
+    head[inside] = ~gap[inside]
+    tail = ~gap[:-1] & gap[1:]
+    tail[inside - 1] = ~gap[inside - 1]
+    begin, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    return Prefixes(data)(begin, end), np.searchsorted(begin, first)
+
+
+def folded(names: list[np.ndarray], k: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
     """Rows of equal names in a chunk become one, which carries the others (keys and positions in turn): a hot name is a row for each chunk, not for each place."""
-    order = np.lexsort(names[::-1])
+    order = np.argsort(names[0] * 0x2545F4914F6CDD1D + names[1])
     names, k, x = [n[order] for n in names], k[order], x[order]
     new = np.ones(len(k), bool)
     new[1:] = np.logical_or.reduce([n[1:] != n[:-1] for n in names])
     first = np.flatnonzero(new)
-    sizes = np.diff(np.append(first, len(k)))
-    others: list = [None] * len(first)
-    for i in np.flatnonzero(sizes > 1):
-        part = slice(first[i] + 1, first[i] + sizes[i])
-        others[i] = np.stack([k[part], x[part]], axis=1).ravel()
-    return pd.DataFrame({"k": k[first], "x": x[first], **{f"n{i}": n[first] for i, n in enumerate(names)}, "others": others})
+    more = np.diff(np.append(first, len(k))) - 1
+    pairs = pa.array(np.stack([k[~new], x[~new]], axis=1).ravel())
+    others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(2 * more)).astype(np.int32)), pairs, mask=pa.array(more == 0))
+    return pa.RecordBatch.from_arrays([pa.array(a[first]) for a in (k, x, *names)] + [others], ["k", "x", "n0", "n1", "others"])
+
+
+def _gathered(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Folded rows of (k, x, first name, second name), ``ROWS`` or a little more at a time."""
+    out, have = [], 0
+    for part in parts:
+        out.append(part)
+        have += len(part[0])
+        if have > ROWS:
+            k, x, *names = (np.concatenate(p) for p in zip(*out, strict=True))
+            yield folded(names, k, x)
+            out, have = [], 0
+    if out:
+        k, x, *names = (np.concatenate(p) for p in zip(*out, strict=True))
+        yield folded(names, k, x)
 
 
 def all_places(rows: DataFrame, *more: str) -> DataFrame:
@@ -120,75 +177,58 @@ def all_places(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(F.explode(F.when(F.col("others").isNull(), own).otherwise(F.concat(own, pairs))).alias("_p"), *more).select("_p.k", "_p.x", *more)
 
 
-def _units(text: str | None, words: bool) -> np.ndarray:
-    """What positions count: the bytes of a text, or its words."""
-    return word_hashes(text) if words else _bytes(text)
-
-
 def samples(df: DataFrame, length: int, words: bool = False) -> DataFrame:
-    """(k, x, h, w, others) for the sampled positions of each text (k, t): names of the bytes (or words) after x and of the window around it.
+    """(k, x, h, w, others) for the sampled positions of each text (k, t): names of the bytes (or words) that must agree around x and of the window around it.
 
     x is packed: the position and, in its low 24 bits, the two distances of the strings that meet there.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover = Cover(length)
 
-        def frame(out: list) -> pd.DataFrame:
-            k, x, l, m, h, w = (np.concatenate(p) for p in zip(*out, strict=True))
-            return folded([h.view(np.int64), w.view(np.int64)], k, (x << 24) + (l << 12) + m)
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for b in batches:
+                for _, keys, data, first in laid(b.column("k"), b.column("t"), words):
+                    name = Prefixes(data)
+                    of, x, l, m = cover.samples(first, name)
+                    at = x + first[of]
+                    w = name(at - l, np.minimum(at - m + length, first[of + 1])) + l.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    h = name(at - m, at + cover.need) + m.astype(np.uint64)
+                    yield keys[of], (x << 24) + (l << 12) + m, (h & _LOW).view(np.int64), (w & _LOW).view(np.int64)
 
-        out, have = [], 0
-        for b in batches:
-            for k, t in zip(b["k"], b["t"], strict=True):
-                data = _units(t, words)
-                n = len(data)
-                if n < length:
-                    continue
-                name = Prefixes(data)
-                x, l, m = cover.samples(data, name)
-                w = name(x - l, np.minimum(x - m + length, n)) + l.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                h = name(x, x + cover.need) + m.astype(np.uint64)
-                out.append((np.full(len(x), k), x, l, m, h & _LOW, w & _LOW))
-                have += len(x)
-                if have > 200_000:
-                    yield frame(out)
-                    out, have = [], 0
-        if out:
-            yield frame(out)
-
-    return df.mapInPandas(run, "k long, x long, n0 long, n1 long, others array<long>").withColumnsRenamed({"n0": "h", "n1": "w"})
+        yield from _gathered(parts())
+
+    return df.select("k", "t").mapInArrow(run, FOLDED.format("long")).withColumnsRenamed({"n0": "h", "n1": "w"})
 
 
 def through(df: DataFrame, length: int, words: bool = False) -> DataFrame:
     """(k, x, a, b, others): 80-bit names of the strings that meet at the samples in ``stand`` of each text (k, t, stand); x is where they start."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = lambda out: folded([np.concatenate(p) for p in list(zip(*out, strict=True))[2:]], *(np.concatenate(p) for p in list(zip(*out, strict=True))[:2]))
-        out, have = [], 0
-        for b in batches:
-            for k, t, stand in zip(b["k"], b["t"], b["stand"], strict=True):
-                if stand is None or not len(stand):
-                    continue
-                data = _units(t, words)
-                x, l, m = unpacked(stand, len(data))
-                mark = np.zeros(len(data) + 1, np.int32)
-                np.add.at(mark, x - l, 1)
-                np.add.at(mark, x - m + 1, -1)
-                p = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                p = p[p + length <= len(data)]
-                one, two = Prefixes(data), Prefixes(data, 1)
-                for at in range(0, len(p), 200_000):
-                    q = p[at : at + 200_000]
-                    out.append((np.full(len(q), k), q, one(q, q + length).view(np.int64), (two(q, q + length) & np.uint64(0x7FFF)).astype(np.int16)))
-                    have += len(q)
-                    if have > 200_000:
-                        yield frame(out)
-                        out, have = [], 0
-        if out:
-            yield frame(out)
-
-    return df.mapInPandas(run, "k long, x long, n0 long, n1 short, others array<long>").withColumnsRenamed({"n0": "a", "n1": "b"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for b in batches:
+                stands = b.column("stand")
+                for rows, keys, data, first in laid(b.column("k"), b.column("t"), words):
+                    own = stands.slice(rows.start, len(keys))
+                    of = np.repeat(np.arange(len(keys)), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                    x, l, m = unpacked(own.flatten().to_numpy(zero_copy_only=False), 1 << 39)
+                    keep = x < first[of + 1] - first[of]
+                    x, l, m, of = x[keep] + first[of[keep]], l[keep], m[keep], of[keep]
+                    mark = np.zeros(len(data) + 1, np.int32)
+                    np.add.at(mark, x - l, 1)
+                    np.add.at(mark, x - m + 1, -1)
+                    p = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+                    of = np.searchsorted(first, p, "right") - 1
+                    keep = p + length <= first[of + 1]
+                    p, of = p[keep], of[keep]
+                    one, two = Prefixes(data), Prefixes(data, 1)
+                    for i in range(0, len(p), ROWS):
+                        q, own_of = p[i : i + ROWS], of[i : i + ROWS]
+                        yield keys[own_of], q - first[own_of], one(q, q + length).view(np.int64), (two(q, q + length) & np.uint64(0x7FFF)).astype(np.int16)
+
+        yield from _gathered(parts())
+
+    return df.select("k", "t", "stand").mapInArrow(run, FOLDED.format("short")).withColumnsRenamed({"n0": "a", "n1": "b"})
 
 
 def unpacked(packed, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,7 +301,7 @@ def repeated_passages(base: DataFrame, words: int = PASSAGE) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"k": b["k"], "n": [int(covered(c, a, len(_units(t, True)), words).sum()) for t, c, a in zip(b["t"], b["cover"], b["again"], strict=True)]})
+            yield pd.DataFrame({"k": b["k"], "n": [int(covered(c, a, len(_bytes(t).tobytes().split()), words).sum()) for t, c, a in zip(b["t"], b["cover"], b["again"], strict=True)]})
 
     touched, again = places(base, words, True)
     rows = touched.select("k", "t", "cover").join(again, "k", "left").mapInPandas(run, "k long, n long")
