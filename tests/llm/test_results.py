@@ -280,6 +280,31 @@ def test_training_empties_its_lanes(sizes):
     assert t.seen == sum(map(len, texts)) and taught == Counter(np.concatenate(texts).tolist())
 
 
+def test_words_are_looked_up_once(spark, docs, monkeypatch):
+    """Training gets the ids that scoring has encoded, not texts to split again, and learns the same from them."""
+    rows, seen = spark.createDataFrame(docs[["doc_id", "text"]]), []
+    monkeypatch.setattr(lm, "train", lambda d, v, real=lm.train: seen.append((d.columns, v, real(d, v))) or seen[0][2])
+    lm.score(rows)
+    columns, v, model = seen[0]
+    assert "text" not in columns
+    own = rows.withColumnRenamed("doc_id", "key").filter("crc32(cast(key as string)) % 7 <> 2")
+    monkeypatch.undo()
+    again = lm.train(own, v)
+    assert all(np.array_equal(getattr(model, k), getattr(again, k)) for k in lm.Model.NAMES)
+
+
+def test_windows_keep_their_memory():
+    """A window's arrays come from memory that the process has: faulting them in again took a quarter of the time."""
+    import resource
+
+    ids = np.random.default_rng(1).integers(0, 4096, (60, lm.LANES * lm.WINDOW))
+    t = lm.Trainer(lm.Model.start(np.arange(4096, 0, -1.0)), 7)
+    t.learn(iter(ids[:10].reshape(lm.LANES, -1)))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    t.learn(iter(ids.reshape(lm.LANES, -1)))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 60 * 200
+
+
 def test_gradients():
     m = lm.Model.start(np.arange(16, 0, -1.0), hidden=4, classes=4)
     rng = np.random.default_rng(2)

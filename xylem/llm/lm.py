@@ -9,17 +9,19 @@ to window, so each gets the likelihood of all its words.
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import math
 import pickle
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 from itertools import groupby, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -89,34 +91,46 @@ class Model:
     def hidden(self) -> int:
         return len(self.u)
 
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Input and recurrent weights by gate (update and reset, negated, then candidate), each one block of memory."""
+        x, u = (np.ascontiguousarray(w.reshape(len(w), 3, self.hidden).swapaxes(0, 1)) for w in (self.x, self.u))
+        for w in (x, u):
+            np.negative(w[:2], out=w[:2])
+        return x, u
+
     def run(self, ids: np.ndarray, h: np.ndarray, end: int, keep: bool = False):
         """Hidden states for inputs (steps, lanes) from state ``h``, which starts anew at each end; with ``keep`` also what training needs."""
         (steps, lanes), size, kind = ids.shape, self.hidden, self.u.dtype
-        x = self.x[ids]  # a step's inputs turn into its gates and its candidate
-        live = (ids != end)[:, :, None].astype(kind)
+        weights, u = self.gates()
+        x = np.take(weights, ids, axis=1)  # a step's inputs turn into its gates and its candidate
+        ended = ids == end
+        any_ended = ended.any(axis=1).tolist()
         hs = np.empty((steps, lanes, size), kind)
-        before, a = np.empty((steps if keep else 1, lanes, size), kind), np.empty((steps if keep else 1, lanes, 3 * size), kind)
+        before, a = np.empty((steps if keep else 1, lanes, size), kind), np.empty((steps if keep else 1, lanes, size), kind)
+        own, more = np.empty((2, lanes, size), kind), np.empty((lanes, size), kind)
         for t in range(steps):
-            b, own = before[t if keep else 0], a[t if keep else 0]
-            np.multiply(h, live[t], out=b)
-            np.matmul(b, self.u, out=own)
-            zr, cand = x[t, :, : 2 * size], x[t, :, 2 * size :]
-            zr += own[:, : 2 * size]
-            np.negative(zr, out=zr)
+            b, to_cand, zr, cand = before[t if keep else 0], a[t if keep else 0], x[:2, t], x[2, t]
+            b[...] = h
+            if any_ended[t]:
+                b[ended[t]] = 0
+            np.matmul(b, u[:2], out=own)
+            np.matmul(b, u[2], out=to_cand)
+            zr += own
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            cand += zr[:, size:] * own[:, 2 * size :]
+            cand += np.multiply(zr[1], to_cand, out=more)
             np.tanh(cand, out=cand)
             h = np.subtract(b, cand, out=hs[t])
-            h *= zr[:, :size]
+            h *= zr[0]
             h += cand
-        return (hs, h, (before, a, x), live) if keep else (hs, h)
+        return (hs, h, (before, a, x), (ended, any_ended), u) if keep else (hs, h)
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of words ``y`` after states ``h``: the class, then the word in its class."""
         size = len(self.bo) // len(self.bc)
-        scores = h @ self.wc + self.bc
+        scores = h @ self.wc
+        scores += self.bc
         c = y // size
         out = scores[np.arange(len(y)), c] - _log_sum(scores)
         order, bounds = _by_class(c, len(self.bc))
@@ -124,18 +138,20 @@ class Model:
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             part = slice(k * size, (k + 1) * size)
             b, e = bounds[k], bounds[k + 1]
-            s = h[b:e] @ self.wo[part].T + self.bo[part]
+            s = h[b:e] @ self.wo[part].T
+            s += self.bo[part]
             out[order[b:e]] += s[np.arange(e - b), y[b:e] - k * size] - _log_sum(s)
         return out
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
-    """The log of the sum of exponentials of each row; by the row's own maximum where the values spread too far for one of all."""
+    """The log of the sum of exponentials of each row, whose values are used up; by the row's own maximum where the values spread too far for one of all."""
     top = s.max()
     if top - s.min() > 60:
         own = s.max(axis=1)
         return own + np.log(np.exp(s - own[:, None]).sum(axis=1))
-    return top + np.log(np.exp(s - top) @ np.ones(s.shape[1], s.dtype))
+    s -= top
+    return top + np.log(np.exp(s, out=s) @ np.ones(s.shape[1], s.dtype))
 
 
 def _by_class(c: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +169,18 @@ def _shares(s: np.ndarray, scale: float) -> np.ndarray:
     return s
 
 
+@lru_cache(maxsize=1)
+def keep_memory() -> None:
+    """Let this process keep up to 64 MB of what it frees. By default glibc gives a window's arrays back to the system and each window
+    faults them in again, page by page: 0.88 of 3.1 microseconds a word of training."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):  # another C library
+        return
+    mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+    mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+
+
 def _places(lookup: dict[bytes, int], own: list[bytes]) -> np.ndarray:
     """The place of each word in the head, -1 outside."""
     return np.array(list(map(lookup.get, own, repeat(-1))), np.int64)
@@ -178,13 +206,15 @@ class Trainer:
     def window(self, ids: np.ndarray, y: np.ndarray, h: np.ndarray, full: int = 0) -> np.ndarray:
         """Learn from one window (steps, lanes); the state goes on, gradients stop at its start. One of fewer than ``full`` words counts for as much less."""
         m, size = self.m, self.m.hidden
-        hs, last, (before, a, x), live = m.run(ids, h, self.end, keep=True)
+        hs, last, (before, a, x), (ended, any_ended), u = m.run(ids, h, self.end, keep=True)
         flat, yf = hs.reshape(-1, size), y.ravel()
         n = len(yf)
         every, scale = np.arange(n), 16 / max(n, full)
         classes, per = len(m.bc), len(m.bo) // len(m.bc)
         c = yf // per
-        p = _shares(flat @ m.wc + m.bc, scale)
+        p = flat @ m.wc
+        p += m.bc
+        p = _shares(p, scale)
         p[every, c] -= scale
         dh = p @ m.wc.T
         gwc, gbc = flat.T @ p, p.sum(axis=0)
@@ -206,28 +236,42 @@ class Trainer:
         dh[order] += d
         dh = dh.reshape(hs.shape)
         # What does not depend on later steps is computed for all steps at once.
-        z, r, cand = x[:, :, :size], x[:, :, size : 2 * size], x[:, :, 2 * size :]
-        to_cand, to_z, to_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), a[:, :, 2 * size :] * r * (1 - r)
-        da, dx = np.empty_like(x), np.empty_like(x)
-        after, back = np.zeros_like(before[0]), np.ascontiguousarray(m.u.T)
+        z, r, cand = x
+        to_cand, to_z, to_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), a * r * (1 - r)
+        d = np.empty((4, *hs.shape), hs.dtype)  # of the two gates, of the candidate's recurrent part and of the candidate
+        after, parts, back = np.zeros_like(before[0]), np.empty((3, *before[0].shape), hs.dtype), np.ascontiguousarray(u.swapaxes(1, 2))
+        np.negative(back[:2], out=back[:2])
         for t in range(len(ids) - 1, -1, -1):
             g = dh[t]
             g += after
-            dn = np.multiply(g, to_cand[t], out=dx[t, :, 2 * size :])
-            np.multiply(g, to_z[t], out=da[t, :, :size])
-            np.multiply(dn, to_r[t], out=da[t, :, size : 2 * size])
-            np.multiply(dn, r[t], out=da[t, :, 2 * size :])
-            np.matmul(da[t], back, out=after)
+            dn = np.multiply(g, to_cand[t], out=d[3, t])
+            np.multiply(g, to_z[t], out=d[0, t])
+            np.multiply(dn, to_r[t], out=d[1, t])
+            np.multiply(dn, r[t], out=d[2, t])
+            np.matmul(d[:3, t], back, out=parts)
             g *= z[t]
+            np.add(parts[0], parts[1], out=after)
+            after += parts[2]
             after += g
-            after *= live[t]
-        dx[:, :, : 2 * size] = da[:, :, : 2 * size]
-        gu = before.reshape(-1, size).T @ da.reshape(-1, 3 * size)
+            if any_ended[t]:
+                after[ended[t]] = 0
+        d = d.reshape(4, n, size)
+        gu = np.concatenate(list(before.reshape(n, size).T @ d[:3]), axis=1)
+        # Inputs in the order of their words; those of words that stand here once are no sums.
         ids_f = ids.ravel()
         order = np.argsort(ids_f.astype(np.min_scalar_type(len(m.x))), kind="stable")
         rows = ids_f[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        self._step("x", np.add.reduceat(dx.reshape(-1, 3 * size)[order], first, axis=0), rows[first])
+        times = np.diff(np.append(first, n))
+        once, often = first[times == 1], np.repeat(times > 1, times)
+        of = np.concatenate([order[once], order[often]])
+        dx = np.empty((n, 3 * size), hs.dtype)
+        for gate, own in enumerate((d[0], d[1], d[3])):
+            dx[:, gate * size : (gate + 1) * size] = own[of]
+        starts = np.cumsum(times[times > 1]) - times[times > 1] + len(once)
+        if len(starts):
+            dx[len(once) : len(once) + len(starts)] = np.add.reduceat(dx, starts, axis=0)
+        self._step("x", dx[: len(first)], np.concatenate([rows[once], rows[first[times > 1]]]))
         for name, grad in (("u", gu), ("wc", gwc), ("bc", gbc), ("wo", gwo), ("bo", gbo)):
             self._step(name, grad)
         self.seen += n
@@ -235,6 +279,7 @@ class Trainer:
 
     def learn(self, stream: Iterator[np.ndarray], lanes: int = LANES, window: int = WINDOW) -> None:
         """Learn from texts (ids with the end), laid one after another into lanes; at the end of the stream the lanes that still hold words go on."""
+        keep_memory()
         rows: list[deque[np.ndarray]] = [deque() for _ in range(lanes)]
         have = np.zeros(lanes, np.int64)
         h, prev = np.zeros((lanes, self.m.hidden), np.float32), np.full(lanes, self.end)
@@ -269,6 +314,7 @@ class Trainer:
 
 def lane_scores(model: Model, texts: list[np.ndarray], end: int, lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
     """Natural log-likelihood of each text (ids with the end): longest texts first into the emptiest lane, states carried on."""
+    keep_memory()
     out = np.zeros(len(texts))
     lanes = min(lanes, len(texts))
     if not lanes:
@@ -335,6 +381,16 @@ def _ids(v: Vocabulary, places: dict[bytes, int], text: str | None) -> np.ndarra
     return np.append(np.where(at >= 0, v.ids[at], v.unknown) if len(at) and len(v.ids) else np.full(len(at), v.unknown), v.end)
 
 
+def _kind(v: Vocabulary) -> np.dtype:
+    """What the model's ids are stored as."""
+    return np.min_scalar_type(max(1, len(v.freq) - 1))
+
+
+def _order() -> Column:
+    """The place of a row (key, text) in training."""
+    return F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+
+
 def vocabulary(counts: DataFrame, head: int = HEAD, size: int = CLASSES * CLASS_SIZE) -> Vocabulary:
     """The head: all words down to the lowest count that keeps it within ``head`` words (found from the histogram of counts), and the end."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -368,26 +424,28 @@ def _mean(b: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, v: Vocabulary, warm_tokens: int = WARM_TOKENS, shard_tokens: int = SHARD_TOKENS) -> Model:
-    """A model of the training rows (key, text): warmed up on a bounded sample, trained by shard on all rows, averaged.
+    """A model of the training rows, (key, text) or (o, ids) as :func:`score` has encoded them: warmed up on a bounded sample, trained by shard on all rows, averaged.
 
-    Rows are dealt to shards by a hash of key and text, and sorted by it there, so the model does not depend on how the input is
+    Rows are dealt to shards by a hash of key and text (``o``), and sorted by it there, so the model does not depend on how the input is
     partitioned, and a task that runs again gives what it gave. Copies are averaged in a tree: a task holds the sum and one copy, the driver ``FAN_IN``.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(v)
-    order = F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    what = "ids" if "ids" in docs.columns else "text"
+    docs = docs if what == "ids" else docs.select("text", _order().alias("o"))
+    sent = spark.sparkContext.broadcast(replace(v, head=[]) if what == "ids" else v)
 
-    def texts(rows: Iterator[str | None]) -> Iterator[np.ndarray]:
+    def texts(rows: Iterator) -> Iterator[np.ndarray]:
         places = sent.value.lookup()
+        kind = _kind(sent.value)
         for t in rows:
-            yield _ids(sent.value, places, t)
+            yield np.frombuffer(t, kind).astype(np.int64) if what == "ids" else _ids(sent.value, places, t)
 
     def warm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = Trainer(Model.start(sent.value.freq), sent.value.end)
 
         def some() -> Iterator[np.ndarray]:
             n = 0
-            for ids in texts(x for b in batches for x in b["text"]):
+            for ids in texts(x for b in batches for x in b[what]):
                 yield ids
                 n += len(ids)
                 if n >= warm_tokens:
@@ -399,22 +457,22 @@ def train(docs: DataFrame, v: Vocabulary, warm_tokens: int = WARM_TOKENS, shard_
     if not int(v.freq[v.end]):
         return Model.start(v.freq)
     parts = max(1, v.tokens // max(1, warm_tokens))  # of which one is the sample
-    sample = docs.select("text", order.alias("o")).filter(F.pmod(F.xxhash64("o", F.lit("warm")), F.lit(parts)) == 0)
-    warmed = sample.repartition(1).sortWithinPartitions("o", "text").select("text").mapInPandas(warm, MODEL_SCHEMA).first()
+    sample = docs.select(what, "o").filter(F.pmod(F.xxhash64("o", F.lit("warm")), F.lit(parts)) == 0)
+    warmed = sample.repartition(1).sortWithinPartitions("o", what).select(what).mapInPandas(warm, MODEL_SCHEMA).first()
     first = Model(**pickle.loads(warmed["blob"])) if warmed else Model.start(v.freq)
     begun = spark.sparkContext.broadcast(first)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Shards stand one after another in a partition; each trains a copy of its own."""
-        rows = ((s, x) for b in batches for s, x in zip(b["shard"], b["text"], strict=True))
+        rows = ((s, x) for b in batches for s, x in zip(b["shard"], b[what], strict=True))
         for shard, own in groupby(rows, key=lambda r: r[0]):
             t = Trainer(begun.value, sent.value.end, RATE / 2)
             t.learn(texts(x for _, x in own))
             yield _packed(int(shard), t)
 
     shards = max(1, -(-v.tokens // shard_tokens))
-    dealt = docs.select("text", order.alias("o")).withColumn("shard", F.pmod(F.xxhash64("o", F.lit("shard")), F.lit(shards)))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "o", "text").select("shard", "text")
+    dealt = docs.select(what, "o").withColumn("shard", F.pmod(F.xxhash64("o", F.lit("shard")), F.lit(shards)))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "o", what).select("shard", what)
     level = materialise(dealt.mapInPandas(each, MODEL_SCHEMA), "trained")
     while shards > FAN_IN:
         shards = -(-shards // FAN_IN)
@@ -423,7 +481,8 @@ def train(docs: DataFrame, v: Vocabulary, warm_tokens: int = WARM_TOKENS, shard_
     return Model(**pickle.loads(_mean(last)["blob"][0])) if len(last) else first
 
 
-SCORED = "key string, held_out boolean, n_tokens long, n_known long, base double, score double, n_rest long, rest array<binary>"
+ENCODED = "key string, held_out boolean, o long, n_tokens long, n_known long, base double, score double, ids binary, n_rest long, rest array<binary>"
+SCORED = "key string, held_out boolean, n_tokens long, n_known long, base double, score double, row long"
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int = 2, of: int = 7) -> DataFrame:
@@ -434,33 +493,21 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), (crc_rest(F.col(key), of) == held).alias("held_out"))
-    seen = rows.filter("not held_out")
-    counts = materialise(count_words(seen), "counts")
+    counts = materialise(count_words(rows.filter("not held_out")), "counts")
     v = vocabulary(counts)
-    model = train(seen.select("key", "text"), v)
-    sent = spark.sparkContext.broadcast((v, model))
+    sent = spark.sparkContext.broadcast(v)
     all_base, all_rest = math.log10(v.tokens + v.distinct + 1), math.log10(v.rest_tokens + v.rest_distinct + 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, model = sent.value
-        places = v.lookup()
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = sent.value
+        places, kind = v.lookup(), _kind(v)
         counted = np.log10(np.append(v.counts, 0) + 1.0)
         ids = np.append(v.ids, v.unknown)
         end = places.get(END, -1)
         outside = ids == v.unknown
-
-        def emit(frames: list[pd.DataFrame], seqs: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-            got = lane_scores(model, seqs, v.end) / math.log(10)
-            at = 0
-            for frame in frames:
-                frame["score"] += got[at : at + len(frame)]
-                at += len(frame)
-                yield frame
-
-        frames, seqs, have = [], [], 0
         for b in batches:
             out = []
-            for k, t, held_out in zip(b["key"], b["text"], b["held_out"], strict=True):
+            for k, t, held_out, o in zip(b["key"], b["text"], b["held_out"], b["o"], strict=True):
                 own = words(t)
                 at = _places(places, own)
                 rest = [own[i] for i in np.flatnonzero(at < 0).tolist()]
@@ -472,20 +519,38 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int =
                 ids_ = np.where(at >= 0, ids[at], v.unknown)
                 ids_[-1] = v.end
                 share = counted[at][known & outside[at]].sum() - (outside[at][:-1].sum()) * all_rest
-                seqs.append(ids_.astype(np.int32))
-                have += len(ids_)
-                out.append([k, held_out, len(at), int(known.sum()), base, share, len(rest), rest])
-            frames.append(pd.DataFrame(out, columns=["key", "held_out", "n_tokens", "n_known", "base", "score", "n_rest", "rest"]))
+                out.append([k, held_out, o, len(at), int(known.sum()), base, share, ids_.astype(kind).tobytes(), len(rest), rest])
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ENCODED.split(", ")])
+
+    # Words are looked up once; training and scoring take the ids, 2 bytes a word.
+    encoded = materialise(rows.withColumn("o", _order()).withColumn("key", F.col("key").cast("string")).mapInPandas(encode, ENCODED).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    model = spark.sparkContext.broadcast(train(encoded.filter("not held_out").select("o", "ids"), v))
+    last, kind = v.end, _kind(v)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def emit(frames: list[pd.DataFrame], seqs: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+            got = lane_scores(model.value, seqs, last) / math.log(10)
+            at = 0
+            for frame in frames:
+                frame["score"] += got[at : at + len(frame)]
+                at += len(frame)
+                yield frame
+
+        frames, seqs, have = [], [], 0
+        for b in batches:
+            seqs += [np.frombuffer(x, kind).astype(np.int32) for x in b["ids"]]
+            have += int(b["n_tokens"].sum())
+            frames.append(b.drop(columns="ids"))
             if have >= SCORE_TOKENS:
                 yield from emit(frames, seqs)
                 frames, seqs, have = [], [], 0
         yield from emit(frames, seqs)
 
-    scored = materialise(rows.withColumn("key", F.col("key").cast("string")).mapInPandas(run, SCORED).withColumn("key", F.col("key").cast("long")).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = materialise(encoded.select(*[c.split()[0] for c in SCORED.split(", ")], "ids").mapInPandas(run, SCORED).withColumn("key", F.col("key").cast("long")), "scored")
     # A row's words outside the head, each once with its number, meet their counts.
-    loose = scored.filter("n_rest > 0").select("row", F.explode("rest").alias("word")).groupBy("word", "row").agg(F.count("*").alias("n"))
+    loose = encoded.filter("n_rest > 0").select("row", F.explode("rest").alias("word")).groupBy("word", "row").agg(F.count("*").alias("n"))
     found = loose.join(counts, "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("more_known"))
-    both = scored.drop("rest").join(found, "row", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
+    both = scored.join(found, "row", "left").withColumn("more", F.coalesce("more", F.lit(0.0))).orderBy("row")  # as read: files are read by size, which depends on the words found
     return both.select(
         F.col("key").alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(v.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), (F.col("score") + F.col("more")).alias("score"),
