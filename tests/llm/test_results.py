@@ -293,6 +293,55 @@ def test_words_are_looked_up_once(spark, docs, monkeypatch):
     assert all(np.array_equal(getattr(model, k), getattr(again, k)) for k in lm.Model.NAMES)
 
 
+def test_words_are_cut_many_texts_at_once():
+    texts = [" A\x0bB  c\x1cd\x85É ", "", None, "  ", "x\ty\nz", "İ K", "\x00a \x1f\x20b\r\n", " ", "\u2003 a"]
+    for own in (pa.array(texts), pa.array(["gone", *texts, "gone"]).slice(1, len(texts)), pa.array([], pa.string()), pa.array([None, ""])):
+        flat, bounds = lm.cut(own)
+        flat = flat.to_pylist()
+        assert [flat[b:e] for b, e in zip(bounds[:-1], bounds[1:], strict=True)] == [lm.words(t) for t in own.to_pylist()]
+
+
+def test_words_outside_the_head_stand_once_with_their_number(spark, monkeypatch):
+    """A row's repeated words outside the head meet their counts as one row, without a shuffle that adds them up first."""
+    v, table, seen = lm.vocabulary, lm.materialise, {}
+    monkeypatch.setattr(lm, "vocabulary", lambda counts: v(counts, head=1))
+    monkeypatch.setattr(lm, "materialise", lambda df, name: seen.setdefault(name, table(df, name)))
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
+    taught = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 != 2)
+    got = lm.score(frame(spark, [(taught, "the the the a a b"), (held, "a zz the A zz zz"), (held + 1000, None)])).toPandas().set_index("doc_id").loc[held]
+    rest = next(r["rest"] for r in seen["encoded"].collect() if r["key"] == str(held))
+    assert sorted((bytes(r["word"]), r["n"]) for r in rest) == [(b"a", 2), (b"zz", 3)]
+    assert got["n_known"] == 4  # a twice, the, the end
+
+
+def test_lanes_are_of_nearly_the_same_length():
+    """A long text at the end of the stream gets no windows of its own, beside empty lanes: these cost half as much as full ones."""
+    rng = np.random.default_rng(4)
+    texts = [np.append(rng.integers(0, 7, n), 7) for n in [*rng.integers(1, 60, 600).tolist(), 500]]
+    t, sizes = lm.Trainer(lm.Model.start(np.arange(16, 0, -1.0), hidden=4, classes=4), 7), []
+    window = t.window
+    t.window = lambda x, y, h, *full: (sizes.append(y.size), window(x, y, h, *full))[1]
+    t.learn(iter(texts), lanes=16, window=8)
+    assert sum(sizes) == sum(map(len, texts)) and len(sizes) <= sum(sizes) / (16 * 8) + 16
+
+
+def test_gradients_are_added_up_by_word():
+    rng = np.random.default_rng(5)
+    for ids in (rng.zipf(1.5, 900) % 50, np.arange(5), np.zeros(40, int)):
+        x = rng.standard_normal((3, len(ids), 4))
+        rows, got = lm._by_word(ids, x)
+        assert sorted(rows.tolist()) == sorted(set(ids.tolist()))
+        assert all(np.allclose(got[:, k], x[:, ids == w].sum(axis=1)) for k, w in enumerate(rows))
+
+
+def test_sums_of_exponentials_of_any_range():
+    for s in ([[-200.0, -201.0], [0.0, 1.0]], [[200.0, 90.0], [0.0, 1.0]], [[-200.0, 200.0], [5.0, 5.0]]):
+        s = np.array(s, np.float32)
+        top = s.max(axis=1, keepdims=True).astype(float)
+        want = np.log(np.exp(s - top).sum(axis=1)) + top[:, 0]
+        assert np.allclose(lm._log_sum(s.copy()), want, rtol=1e-5) and np.allclose(lm._shares(s.copy(), 1), np.exp(s - want[:, None]), atol=1e-6)
+
+
 def test_windows_keep_their_memory():
     """A window's arrays come from memory that the process has: faulting them in again took a quarter of the time."""
     import resource

@@ -13,7 +13,6 @@ import ctypes
 import heapq
 import math
 import pickle
-from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -21,6 +20,8 @@ from itertools import groupby, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,12 @@ SCORE_LANES, SCORE_WINDOW = 256, 128
 SCORE_TOKENS = 2_000_000
 #: Distinct words that a counting task holds before it passes them on.
 COUNTED = 400_000
+#: Bytes of texts whose words are counted at once.
+COUNTED_BYTES = 8 << 20
+#: Bytes of rows that are encoded at once, so that the table of the head's words, which Arrow makes each time, is small beside them.
+ENCODED_BYTES = 4 << 20
+#: Rows of a softmax that are scored at once, so that they stay in a core's cache.
+BLOCK = 4096
 END = b""
 
 
@@ -48,22 +55,53 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The :func:`words` of many texts, one after another, and where each text's begin (and the last one's end)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    flat, bounds = lists.flatten().cast(pa.binary()), lists.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
+    real = pc.binary_length(flat).to_numpy() > 0
+    if not real.all():  # a text without words is split into one empty one
+        flat, bounds = flat.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])[bounds]
+    return flat, bounds
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``size`` bytes or more."""
+    own, have = [], 0
+    for b in batches:
+        own.append(b)
+        have += b.nbytes
+        if have >= size:
+            yield from pa.Table.from_batches(own).combine_chunks().to_batches()
+            own, have = [], 0
+    if own:
+        yield from pa.Table.from_batches(own).combine_chunks().to_batches()
+
+
+def _added(parts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select(["word", "c"])
+
+
 def count_words(df: DataFrame) -> DataFrame:
     """(word, c) over all rows of (text); the end of a text is the empty word."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine: Counter = Counter()
-        for b in batches:
-            for t in b["text"]:
-                mine.update(words(t))
-                if len(mine) > COUNTED:
-                    yield pd.DataFrame({"word": list(mine.keys()), "c": list(mine.values())})
-                    mine = Counter()
-            mine[END] += len(b)
-        if mine:
-            yield pd.DataFrame({"word": list(mine.keys()), "c": list(mine.values())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, more, ends = [], 0, 0
+        for b in _gathered(batches, COUNTED_BYTES):
+            ends += len(b)
+            found = pc.value_counts(cut(b.column(0))[0])
+            mine.append(pa.table({"word": found.field("values"), "c": found.field("counts")}))
+            more += len(found)
+            if more > COUNTED:
+                mine, more = [_added(mine)], 0
+                if len(mine[0]) > COUNTED:
+                    yield from mine.pop().to_batches()
+        if ends:
+            mine.append(pa.table({"word": pa.array([END], pa.binary()), "c": np.array([ends], np.int64)}))
+            yield from _added(mine).to_batches()
 
-    return df.select("text").mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return df.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -92,33 +130,36 @@ class Model:
         return len(self.u)
 
     def gates(self) -> tuple[np.ndarray, np.ndarray]:
-        """Input and recurrent weights by gate (update and reset, negated, then candidate), each one block of memory."""
+        """Input and recurrent weights by gate (update and reset, halved, then candidate), each one block of memory."""
         x, u = (np.ascontiguousarray(w.reshape(len(w), 3, self.hidden).swapaxes(0, 1)) for w in (self.x, self.u))
         for w in (x, u):
-            np.negative(w[:2], out=w[:2])
+            w[:2] *= 0.5  # a gate is (1 + tanh(its input / 2)) / 2
         return x, u
 
-    def run(self, ids: np.ndarray, h: np.ndarray, end: int, keep: bool = False):
-        """Hidden states for inputs (steps, lanes) from state ``h``, which starts anew at each end; with ``keep`` also what training needs."""
+    def run(self, ids: np.ndarray, h: np.ndarray, end: int, keep: bool = False, gates: tuple[np.ndarray, np.ndarray] | None = None):
+        """Hidden states for inputs (steps, lanes) from state ``h``, which starts anew at each end; with ``keep`` also what training needs. ``gates``: what :meth:`gates` gives, if at hand."""
         (steps, lanes), size, kind = ids.shape, self.hidden, self.u.dtype
-        weights, u = self.gates()
-        x = np.take(weights, ids, axis=1)  # a step's inputs turn into its gates and its candidate
+        weights, u = gates or self.gates()
+        x = np.take(weights, ids, axis=1) if keep else np.empty((3, 1, lanes, size), kind)  # a step's inputs turn into its gates and its candidate
         ended = ids == end
         any_ended = ended.any(axis=1).tolist()
         hs = np.empty((steps, lanes, size), kind)
         before, a = np.empty((steps if keep else 1, lanes, size), kind), np.empty((steps if keep else 1, lanes, size), kind)
         own, more = np.empty((2, lanes, size), kind), np.empty((lanes, size), kind)
         for t in range(steps):
-            b, to_cand, zr, cand = before[t if keep else 0], a[t if keep else 0], x[:2, t], x[2, t]
+            at = t if keep else 0
+            if not keep:
+                np.take(weights, ids[t], axis=1, out=x[:, 0], mode="clip")  # unlike the usual mode it fills the place itself
+            b, to_cand, zr, cand = before[at], a[at], x[:2, at], x[2, at]
             b[...] = h
             if any_ended[t]:
                 b[ended[t]] = 0
             np.matmul(b, u[:2], out=own)
             np.matmul(b, u[2], out=to_cand)
             zr += own
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
             cand += np.multiply(zr[1], to_cand, out=more)
             np.tanh(cand, out=cand)
             h = np.subtract(b, cand, out=hs[t])
@@ -129,29 +170,43 @@ class Model:
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of words ``y`` after states ``h``: the class, then the word in its class."""
         size = len(self.bo) // len(self.bc)
-        scores = h @ self.wc
-        scores += self.bc
-        c = y // size
-        out = scores[np.arange(len(y)), c] - _log_sum(scores)
+        c, out = y // size, np.empty(len(y), h.dtype)
+        for b in range(0, len(y), BLOCK):
+            s = h[b : b + BLOCK] @ self.wc
+            s += self.bc
+            out[b : b + BLOCK] = s[np.arange(len(s)), c[b : b + BLOCK]] - _log_sum(s)
         order, bounds = _by_class(c, len(self.bc))
-        h, y = h[order], y[order]
+        h, y, more = np.take(h, order, axis=0), y[order], np.empty_like(out)
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             part = slice(k * size, (k + 1) * size)
-            b, e = bounds[k], bounds[k + 1]
-            s = h[b:e] @ self.wo[part].T
-            s += self.bo[part]
-            out[order[b:e]] += s[np.arange(e - b), y[b:e] - k * size] - _log_sum(s)
+            to = np.ascontiguousarray(self.wo[part].T)
+            for b in range(bounds[k], bounds[k + 1], BLOCK):
+                e = min(b + BLOCK, bounds[k + 1])
+                s = h[b:e] @ to
+                s += self.bo[part]
+                more[b:e] = s[np.arange(e - b), y[b:e] - k * size] - _log_sum(s)
+        out[order] += more
         return out
 
 
+def _sums(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Exponentials of the values, the sum of each row, and what was taken from each row before: nothing, or its maximum where a sum would leave the range of the type."""
+    ones = np.ones(s.shape[1], s.dtype)
+    with np.errstate(over="ignore"):
+        e = np.exp(s)
+        total = e @ ones
+    if not len(total) or (total.min() > 1e-30 and total.max() < 1e30):
+        return e, total, None
+    top = s.max(axis=1)
+    np.exp(np.subtract(s, top[:, None], out=e), out=e)
+    return e, e @ ones, top
+
+
 def _log_sum(s: np.ndarray) -> np.ndarray:
-    """The log of the sum of exponentials of each row, whose values are used up; by the row's own maximum where the values spread too far for one of all."""
-    top = s.max()
-    if top - s.min() > 60:
-        own = s.max(axis=1)
-        return own + np.log(np.exp(s - own[:, None]).sum(axis=1))
-    s -= top
-    return top + np.log(np.exp(s, out=s) @ np.ones(s.shape[1], s.dtype))
+    """The log of the sum of exponentials of each row."""
+    _, total, top = _sums(s)
+    out = np.log(total, out=total)
+    return out if top is None else out + top
 
 
 def _by_class(c: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,12 +216,35 @@ def _by_class(c: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shares(s: np.ndarray, scale: float) -> np.ndarray:
-    """The softmax of each row times ``scale``, in place; by the row's own maximum where the values spread too far for one of all."""
-    top = s.max()
-    s -= s.max(axis=1, keepdims=True) if top - s.min() > 60 else top
-    np.exp(s, out=s)
-    s *= (scale / (s @ np.ones(s.shape[1], s.dtype)))[:, None]
-    return s
+    """The softmax of each row times ``scale``."""
+    e, total, _ = _sums(s)
+    e *= (scale / total)[:, None]
+    return e
+
+
+def _by_word(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of ``ids``, those that stand there least often first, and for each the sum (parts, words, size) of its columns of ``x`` (parts, ids, size).
+
+    Words that stand there equally often are one block of memory, whose sums are taken at once; those that stand there often are summed one by one.
+    """
+    order = np.argsort(ids, kind="stable")
+    sorted_ = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    times = np.diff(np.append(first, len(ids)))
+    by = np.argsort(times, kind="stable")
+    first, times = first[by], times[by]
+    starts = np.cumsum(times) - times
+    x = np.take(x, order[np.repeat(first - starts, times) + np.arange(len(ids))], axis=1)
+    out = np.empty((len(x), len(first), x.shape[2]), x.dtype)
+    ones = np.ones(int(times[-1]), x.dtype)
+    few = np.searchsorted(times, np.arange(1, 10))
+    for n, (b, e) in enumerate(zip(few.tolist(), few[1:].tolist()), 1):
+        if b < e:
+            part = x[:, int(starts[b]) : int(starts[b]) + n * (e - b)].reshape(len(x), e - b, n, -1)
+            np.add.reduce(part, axis=2, out=out[:, b:e])
+    for k in range(int(few[-1]), len(first)):
+        np.matmul(ones[: times[k]], x[:, starts[k] : starts[k] + times[k]], out=out[:, k])
+    return sorted_[first], out
 
 
 @lru_cache(maxsize=1)
@@ -183,7 +261,7 @@ def keep_memory() -> None:
 
 def _places(lookup: dict[bytes, int], own: list[bytes]) -> np.ndarray:
     """The place of each word in the head, -1 outside."""
-    return np.array(list(map(lookup.get, own, repeat(-1))), np.int64)
+    return np.fromiter(map(lookup.get, own, repeat(-1)), np.int64, len(own))
 
 
 class Trainer:
@@ -192,13 +270,19 @@ class Trainer:
     def __init__(self, model: Model, end: int, rate: float = RATE):
         self.m, self.end, self.rate = replace(model, **{k: getattr(model, k).copy() for k in Model.NAMES}), end, rate
         self.sums = {k: np.full_like(getattr(model, k), 1e-2) for k in Model.NAMES}
+        self.x = model.gates()[0]  # input weights by gate, kept up with those of the model
         self.seen = 0
 
     def _step(self, name: str, grad: np.ndarray, rows=slice(None)) -> None:
         w, s = getattr(self.m, name), self.sums[name]
-        total = s[rows] + grad * grad
-        s[rows] = total
-        np.sqrt(total, out=total)
+        total = grad * grad
+        if isinstance(rows, slice):
+            s += total
+            np.sqrt(s, out=total)
+        else:
+            total += np.take(s, rows, axis=0)
+            s[rows] = total
+            np.sqrt(total, out=total)
         np.divide(grad, total, out=total)
         total *= self.rate
         w[rows] -= total
@@ -206,48 +290,59 @@ class Trainer:
     def window(self, ids: np.ndarray, y: np.ndarray, h: np.ndarray, full: int = 0) -> np.ndarray:
         """Learn from one window (steps, lanes); the state goes on, gradients stop at its start. One of fewer than ``full`` words counts for as much less."""
         m, size = self.m, self.m.hidden
-        hs, last, (before, a, x), (ended, any_ended), u = m.run(ids, h, self.end, keep=True)
+        hs, last, (before, a, x), (ended, any_ended), u = m.run(ids, h, self.end, True, (self.x, replace(m, x=m.x[:0]).gates()[1]))
         flat, yf = hs.reshape(-1, size), y.ravel()
         n = len(yf)
         every, scale = np.arange(n), 16 / max(n, full)
         classes, per = len(m.bc), len(m.bo) // len(m.bc)
+        # Words in the order of their classes: each class is one block of rows.
         c = yf // per
-        p = flat @ m.wc
+        order, bounds = _by_class(c, classes)
+        c, f, ones = c[order], np.take(flat, order, axis=0), np.ones(n, hs.dtype)
+        p = f @ m.wc
         p += m.bc
         p = _shares(p, scale)
         p[every, c] -= scale
-        dh = p @ m.wc.T
-        gwc, gbc = flat.T @ p, p.sum(axis=0)
-        # Words in the order of their classes: each class is one block of rows.
-        order, bounds = _by_class(c, classes)
-        f = flat[order]
+        gwc, gbc = f.T @ p, ones @ p
         q, d = np.empty((n, per), hs.dtype), np.empty_like(f)
-        gwo, gbo = np.zeros_like(m.wo), np.zeros_like(m.bo)
-        own = [(slice(bounds[k], bounds[k + 1]), slice(k * per, (k + 1) * per)) for k in np.flatnonzero(np.diff(bounds)).tolist()]
+        here = np.flatnonzero(np.diff(bounds))
+        gwo, gbo = (np.empty_like if len(here) == classes else np.zeros_like)(m.wo), np.zeros_like(m.bo)
+        own = [(slice(bounds[k], bounds[k + 1]), slice(k * per, (k + 1) * per)) for k in here.tolist()]
         for at, part in own:
             np.matmul(f[at], m.wo[part].T, out=q[at])
             q[at] += m.bo[part]
         q = _shares(q, scale)
-        q[every, (yf - c * per)[order]] -= scale
+        q[every, yf[order] - c * per] -= scale
         for at, part in own:
             np.matmul(q[at], m.wo[part], out=d[at])
             np.matmul(q[at].T, f[at], out=gwo[part])
-            q[at].sum(axis=0, out=gbo[part])
-        dh[order] += d
+            np.matmul(ones[at], q[at], out=gbo[part])
+        d += p @ m.wc.T
+        dh = np.empty_like(d)
+        dh[order] = d
         dh = dh.reshape(hs.shape)
         # What does not depend on later steps is computed for all steps at once.
         z, r, cand = x
-        to_cand, to_z, to_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), a * r * (1 - r)
-        d = np.empty((4, *hs.shape), hs.dtype)  # of the two gates, of the candidate's recurrent part and of the candidate
-        after, parts, back = np.zeros_like(before[0]), np.empty((3, *before[0].shape), hs.dtype), np.ascontiguousarray(u.swapaxes(1, 2))
-        np.negative(back[:2], out=back[:2])
+        rest = 1 - z
+        to_z = before - cand
+        to_z *= z
+        to_z *= rest
+        to_cand = cand * cand
+        np.subtract(1, to_cand, out=to_cand)
+        to_cand *= rest
+        to_r = np.subtract(1, r, out=rest)
+        to_r *= r
+        to_r *= a
+        d = np.empty((4, *hs.shape), hs.dtype)  # of the candidate's recurrent part, of the two gates and of the candidate
+        after, parts, back = np.zeros_like(before[0]), np.empty((3, *before[0].shape), hs.dtype), np.ascontiguousarray(u[[2, 0, 1]].swapaxes(1, 2))
+        back[1:] *= 2
         for t in range(len(ids) - 1, -1, -1):
             g = dh[t]
             g += after
             dn = np.multiply(g, to_cand[t], out=d[3, t])
-            np.multiply(g, to_z[t], out=d[0, t])
-            np.multiply(dn, to_r[t], out=d[1, t])
-            np.multiply(dn, r[t], out=d[2, t])
+            np.multiply(dn, r[t], out=d[0, t])
+            np.multiply(g, to_z[t], out=d[1, t])
+            np.multiply(dn, to_r[t], out=d[2, t])
             np.matmul(d[:3, t], back, out=parts)
             g *= z[t]
             np.add(parts[0], parts[1], out=after)
@@ -256,60 +351,43 @@ class Trainer:
             if any_ended[t]:
                 after[ended[t]] = 0
         d = d.reshape(4, n, size)
-        gu = np.concatenate(list(before.reshape(n, size).T @ d[:3]), axis=1)
-        # Inputs in the order of their words; those of words that stand here once are no sums.
-        ids_f = ids.ravel()
-        order = np.argsort(ids_f.astype(np.min_scalar_type(len(m.x))), kind="stable")
-        rows = ids_f[order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        times = np.diff(np.append(first, n))
-        once, often = first[times == 1], np.repeat(times > 1, times)
-        of = np.concatenate([order[once], order[often]])
-        dx = np.empty((n, 3 * size), hs.dtype)
-        for gate, own in enumerate((d[0], d[1], d[3])):
-            dx[:, gate * size : (gate + 1) * size] = own[of]
-        starts = np.cumsum(times[times > 1]) - times[times > 1] + len(once)
-        if len(starts):
-            dx[len(once) : len(once) + len(starts)] = np.add.reduceat(dx, starts, axis=0)
-        self._step("x", dx[: len(first)], np.concatenate([rows[once], rows[first[times > 1]]]))
-        for name, grad in (("u", gu), ("wc", gwc), ("bc", gbc), ("wo", gwo), ("bo", gbo)):
+        gu = before.reshape(n, size).T @ d[:3]
+        rows, gx = _by_word(ids.ravel().astype(np.min_scalar_type(len(m.x))), d[1:])
+        self._step("x", np.concatenate(list(gx), axis=1), rows)
+        for name, grad in (("u", np.concatenate([gu[1], gu[2], gu[0]], axis=1)), ("wc", gwc), ("bc", gbc), ("wo", gwo), ("bo", gbo)):
             self._step(name, grad)
+        for own, new in zip(self.x, replace(m, x=np.take(m.x, rows, axis=0)).gates()[0], strict=True):
+            own[rows] = new
         self.seen += n
         return last
 
     def learn(self, stream: Iterator[np.ndarray], lanes: int = LANES, window: int = WINDOW) -> None:
-        """Learn from texts (ids with the end), laid one after another into lanes; at the end of the stream the lanes that still hold words go on."""
+        """Learn from texts (ids with the end), laid into lanes of nearly the same length, in each one in the order of the stream; at the end the lanes that still hold words go on."""
         keep_memory()
-        rows: list[deque[np.ndarray]] = [deque() for _ in range(lanes)]
-        have = np.zeros(lanes, np.int64)
+        texts = list(stream)
+        own = _dealt([len(t) for t in texts], lanes)
+        flat = [np.concatenate([texts[i] for i in sorted(k)]) if k else np.empty(0, np.int64) for k in own]
+        del texts
+        sizes = np.array([len(f) for f in flat])
         h, prev = np.zeros((lanes, self.m.hidden), np.float32), np.full(lanes, self.end)
-
-        def take(k: int, n: int) -> np.ndarray:
-            parts = []
-            have[k] -= n
-            while n:
-                head = rows[k].popleft()
-                if len(head) > n:
-                    rows[k].appendleft(head[n:])
-                parts.append(head[:n])
-                n -= len(parts[-1])
-            return np.concatenate(parts)
-
-        def go(own: np.ndarray, steps: int) -> None:
-            y = np.stack([take(k, steps) for k in own], axis=1)
-            x = np.concatenate([prev[None, own], y[:-1]])
-            prev[own] = y[-1]
-            h[own] = self.window(x, y, h[own], lanes * window)
-
-        every = np.arange(lanes)
-        for ids in stream:
-            k = int(have.argmin())
-            rows[k].append(ids)
-            have[k] += len(ids)
-            while have.min() >= window:
-                go(every, window)
-        while len(own := np.flatnonzero(have)):
-            go(own, min(window, int(have[own].min())))
+        at = 0
+        while len(live := np.flatnonzero(sizes > at)):
+            steps = min(window, int(sizes[live].min()) - at)
+            y = np.stack([flat[k][at : at + steps] for k in live], axis=1).astype(np.int64)
+            x = np.concatenate([prev[None, live], y[:-1]])
+            prev[live] = y[-1]
+            h[live] = self.window(x, y, h[live], lanes * window)
+            at += steps
+
+
+def _dealt(sizes: list[int], lanes: int) -> list[list[int]]:
+    """Texts by lane: the longest first, each into the emptiest lane."""
+    heap, own = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        n, k = heapq.heappop(heap)
+        own[k].append(i)
+        heapq.heappush(heap, (n + sizes[i], k))
+    return own
 
 
 def lane_scores(model: Model, texts: list[np.ndarray], end: int, lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
@@ -319,11 +397,8 @@ def lane_scores(model: Model, texts: list[np.ndarray], end: int, lanes: int = SC
     lanes = min(lanes, len(texts))
     if not lanes:
         return out
-    heap, mine = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
-    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
-        n, k = heapq.heappop(heap)
-        mine[k].append(i)
-        heapq.heappush(heap, (n + len(texts[i]), k))
+    mine = _dealt([len(t) for t in texts], lanes)
+    gates = model.gates()
     mine.sort(key=lambda own: -sum(len(texts[i]) for i in own))
     flat = [np.concatenate([texts[i] for i in own]) for own in mine]
     of = [np.repeat(np.array(own, np.int32), [len(texts[i]) for i in own]) for own in mine]
@@ -337,7 +412,7 @@ def lane_scores(model: Model, texts: list[np.ndarray], end: int, lanes: int = SC
             part = flat[j][at : at + steps]
             y[: len(part), j], doc[: len(part), j] = part, of[j][at : at + steps]
         x = np.concatenate([prev[None, :k], y[:-1]])
-        hs, h = model.run(x, h[:k], end)
+        hs, h = model.run(x, h[:k], end, gates=gates)
         prev = y[-1]
         real = doc.ravel() >= 0
         out += np.bincount(doc.ravel()[real], model.log_probs(hs.reshape(-1, model.hidden)[real], y.ravel()[real]), len(texts))
@@ -438,7 +513,7 @@ def train(docs: DataFrame, v: Vocabulary, warm_tokens: int = WARM_TOKENS, shard_
         places = sent.value.lookup()
         kind = _kind(sent.value)
         for t in rows:
-            yield np.frombuffer(t, kind).astype(np.int64) if what == "ids" else _ids(sent.value, places, t)
+            yield np.frombuffer(t, kind) if what == "ids" else _ids(sent.value, places, t)
 
     def warm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = Trainer(Model.start(sent.value.freq), sent.value.end)
@@ -481,7 +556,7 @@ def train(docs: DataFrame, v: Vocabulary, warm_tokens: int = WARM_TOKENS, shard_
     return Model(**pickle.loads(_mean(last)["blob"][0])) if len(last) else first
 
 
-ENCODED = "key string, held_out boolean, o long, n_tokens long, n_known long, base double, score double, ids binary, n_rest long, rest array<binary>"
+ENCODED = "key string, held_out boolean, o long, n_tokens long, n_known long, base double, score double, ids binary, n_rest long, rest array<struct<word:binary,n:long>>"
 SCORED = "key string, held_out boolean, n_tokens long, n_known long, base double, score double, row long"
 
 
@@ -498,32 +573,41 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int =
     sent = spark.sparkContext.broadcast(v)
     all_base, all_rest = math.log10(v.tokens + v.distinct + 1), math.log10(v.rest_tokens + v.rest_distinct + 1)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
-        places, kind = v.lookup(), _kind(v)
-        counted = np.log10(np.append(v.counts, 0) + 1.0)
+        head, kind = pa.array(v.head, pa.binary()), _kind(v)
+        end_at = v.head.index(END) if END in v.head else -1  # there were no training rows: the end is as unseen as all else
+        counted = np.log10(np.append(v.counts, 0) + 1.0)  # the last one is for words outside the head, whose place is -1
         ids = np.append(v.ids, v.unknown)
-        end = places.get(END, -1)
         outside = ids == v.unknown
-        for b in batches:
-            out = []
-            for k, t, held_out, o in zip(b["key"], b["text"], b["held_out"], b["o"], strict=True):
-                own = words(t)
-                at = _places(places, own)
-                rest = [own[i] for i in np.flatnonzero(at < 0).tolist()]
-                at = np.append(at, end)
-                known = at >= 0
-                base = counted[at][known].sum() - len(at) * all_base
-                if end < 0:  # there were no training rows: the end is as unseen as all else
-                    known[-1] = False
-                ids_ = np.where(at >= 0, ids[at], v.unknown)
-                ids_[-1] = v.end
-                share = counted[at][known & outside[at]].sum() - (outside[at][:-1].sum()) * all_rest
-                out.append([k, held_out, o, len(at), int(known.sum()), base, share, ids_.astype(kind).tobytes(), len(rest), rest])
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ENCODED.split(", ")])
+        for b in _gathered(batches, ENCODED_BYTES):
+            if not len(b):
+                continue
+            flat, bounds = cut(b["text"])
+            here = pc.fill_null(pc.index_in(flat, value_set=head), -1).to_numpy()
+            ends = bounds[1:] + np.arange(len(b))  # each text's end comes after its words
+            starts, word = bounds[:-1] + np.arange(len(b)), np.ones(len(here) + len(b), bool)
+            word[ends] = False
+            at = np.full(len(word), end_at)
+            at[word] = here
+            n, logs, rare = ends - starts + 1, counted[at], outside[at] & word
+            ids_ = ids[at]
+            ids_[ends] = v.end
+            base = np.add.reduceat(logs, starts) - n * all_base
+            share = np.add.reduceat(logs * rare, starts) - np.add.reduceat(rare, starts, dtype=np.int64) * all_rest
+            # A row's words outside the head, each once with its number.
+            loose = here < 0
+            found = flat.filter(pa.array(loose)).dictionary_encode()
+            distinct = max(1, len(found.dictionary))
+            pairs, times = np.unique(np.repeat(np.arange(len(b)), bounds[1:] - bounds[:-1])[loose] * distinct + found.indices.to_numpy(), return_counts=True)
+            upto = np.searchsorted(pairs, np.arange(len(b) + 1) * distinct)
+            packed = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer((np.append(starts, len(word)) * kind.itemsize).astype(np.int32)), pa.py_buffer(ids_.astype(kind))])
+            rest = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([found.dictionary.take(pa.array(pairs % distinct)), pa.array(times, pa.int64())], ["word", "n"]))
+            columns = [b["key"], b["held_out"], b["o"], n, np.add.reduceat(at >= 0, starts, dtype=np.int64), base, share, packed, np.diff(upto), rest]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [c.split()[0] for c in ENCODED.split(", ")])
 
     # Words are looked up once; training and scoring take the ids, 2 bytes a word.
-    encoded = materialise(rows.withColumn("o", _order()).withColumn("key", F.col("key").cast("string")).mapInPandas(encode, ENCODED).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    encoded = materialise(rows.withColumn("o", _order()).withColumn("key", F.col("key").cast("string")).mapInArrow(encode, ENCODED).withColumn("row", F.monotonically_increasing_id()), "encoded")
     model = spark.sparkContext.broadcast(train(encoded.filter("not held_out").select("o", "ids"), v))
     last, kind = v.end, _kind(v)
 
@@ -547,8 +631,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: int =
         yield from emit(frames, seqs)
 
     scored = materialise(encoded.select(*[c.split()[0] for c in SCORED.split(", ")], "ids").mapInPandas(run, SCORED).withColumn("key", F.col("key").cast("long")), "scored")
-    # A row's words outside the head, each once with its number, meet their counts.
-    loose = encoded.filter("n_rest > 0").select("row", F.explode("rest").alias("word")).groupBy("word", "row").agg(F.count("*").alias("n"))
+    # Words outside the head meet their counts.
+    loose = encoded.filter("n_rest > 0").select("row", F.inline("rest"))
     found = loose.join(counts, "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("more_known"))
     both = scored.join(found, "row", "left").withColumn("more", F.coalesce("more", F.lit(0.0))).orderBy("row")  # as read: files are read by size, which depends on the words found
     return both.select(
